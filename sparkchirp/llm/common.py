@@ -216,7 +216,7 @@ class ChunkMemo:
     concatenating them gives the ids of the whole text); ``encode`` gives the packed ids of a list of chunks.
     """
 
-    def __init__(self, split, encode, most: int = 400_000):
+    def __init__(self, split, encode, most: int = 800_000):
         self.split, self.encode, self.most, self.known = split, encode, most, {}
 
     def packed(self, texts: list) -> list[bytes]:

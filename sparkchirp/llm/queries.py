@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .exact_dedup import duplicate_groups
+from .packing import pack, tokenise
+from .pieces import round_trip
+from .records import read_tokens, token_folder, write_tokens
 from .sharding import shard
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return duplicate_groups(docs, keep="largest", carry=[]).select(
@@ -17,6 +27,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(load(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    manifest = write_tokens(docs, vocabulary("byte_bpe_50k.json"), 2, token_folder(spark))
+    return read_tokens(manifest).withColumnRenamed("id", "doc_id")
+
+
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    tokens = tokenise(docs, vocabulary("word_bpe_49k.json"), 1)
+    return pack(tokens).withColumnRenamed("id", "doc_id")
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(load(spark, sf_dir, "documents"), 24).select(
         F.col("id").alias("doc_id"),
@@ -33,6 +59,9 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_piece_backtracking": op4_piece_backtracking,
+    "op5_token_records": op5_token_records,
+    "op8_mixture_packing": op8_mixture_packing,
     "op9_virtual_slots": op9_virtual_slots,
 }
 
