@@ -60,6 +60,8 @@ def fan_out(spark: SparkSession, total_bytes: int, each: int = 16 << 20) -> int:
 # --------------------------------------------------------------------------- word arrays
 _SPACE = np.ones(256, np.bool_)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False  # True: part of a word
+#: As above for words of letters, digits and characters beyond ASCII alone.
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def _table(seed: int) -> np.ndarray:
@@ -102,7 +104,7 @@ class Words:
     ``first`` index of each document's first word (one more entry closes the last document).
     """
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray):
+    def __init__(self, column: pa.Array | pa.ChunkedArray, part_of_word: np.ndarray = _SPACE):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
         if column.null_count:
@@ -117,7 +119,7 @@ class Words:
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
         self.data = data[offsets[0] : offsets[-1]]
         self.offset = offsets - offsets[0]
-        inside = _SPACE[self.data]
+        inside = part_of_word[self.data]
         before = np.empty(len(inside), np.bool_)
         before[1:] = inside[:-1]
         marks = self.offset[:-1][self.offset[:-1] < len(inside)]

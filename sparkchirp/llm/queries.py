@@ -11,6 +11,8 @@ from .packing import pack, tokenise
 from .pieces import round_trip
 from .records import read_tokens, token_folder, write_tokens
 from .sharding import shard
+from .threshold import quantised, top_k
+from .toxicity import grade_of, score, train
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +29,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = train(docs, load(spark, sf_dir, "labels"), grade_of())
+    return score(docs, model, carry=["doc_id"]).select("row.doc_id", "severity", "p_toxic", "grade", "rejected")
+
+
 def op4_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(load(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
@@ -57,12 +65,18 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(quantised(load(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, 5)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_ordinal_toxicity": op3_ordinal_toxicity,
     "op4_piece_backtracking": op4_piece_backtracking,
     "op5_token_records": op5_token_records,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_virtual_slots": op9_virtual_slots,
+    "op10_threshold_top_k": op10_threshold_top_k,
 }
 
 SQL = {
@@ -75,4 +89,19 @@ SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_threshold_top_k": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON c.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
 }
