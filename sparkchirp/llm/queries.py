@@ -12,7 +12,7 @@ from .pieces import round_trip
 from .records import read_tokens, token_folder, write_tokens
 from .sharding import shard
 from .threshold import quantised, top_k
-from .toxicity import grade_of, score, train
+from .toxicity import score, train
 
 
 def vocabulary(name: str) -> str:
@@ -31,7 +31,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = train(docs, load(spark, sf_dir, "labels"), grade_of())
+    model = train(docs, load(spark, sf_dir, "labels"), F.col("toxic"))
     return score(docs, model, carry=["doc_id"]).select("row.doc_id", "severity", "p_toxic", "grade", "rejected")
 
 

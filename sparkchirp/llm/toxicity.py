@@ -2,7 +2,7 @@
 
 The model says P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all ordered thresholds;
 x holds the presence of words (letters and digits, A-Z lower-cased).  It is fitted on a bounded sample of
-labelled rows: words whose presence differs by grade with a score-test z of at least ``least_z`` are kept
+labelled rows without their near copies: words whose presence differs by grade with a score-test z of at least ``least_z`` are kept
 (the most distinct ``most_words``), and the likelihood with an L2 penalty is maximised by L-BFGS.
 Every document is then scored on its whole text; the output is the expected severity.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-from .common import ALNUM, Words
+from .common import ALNUM, Words, mix
 
 SAMPLE_ROWS = 20_000
 
@@ -105,7 +105,20 @@ def _lbfgs(f, x: np.ndarray, rounds: int = 200, memory: int = 10) -> np.ndarray:
     return x
 
 
-def fit(indptr: np.ndarray, words: np.ndarray, grade: np.ndarray, least_z: float = 5.0, most_words: int = 512, l2: float = 1e-3) -> OrdinalModel:
+def distinct_rows(sets: list[np.ndarray], bands: int = 6, rows: int = 6) -> list[int]:
+    """Rows without near copies of earlier ones (by banded minimum hashes): copies would pass for independent evidence."""
+    seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, bands * rows, dtype=np.uint64)
+    seen, out = set(), []
+    for i, s in enumerate(sets):
+        least = [int(mix(s ^ seed).min()) if len(s) else 0 for seed in seeds]
+        keys = [(b, *least[b * rows : (b + 1) * rows]) for b in range(bands)]
+        if seen.isdisjoint(keys):
+            out.append(i)
+        seen.update(keys)
+    return out
+
+
+def fit(indptr: np.ndarray, words: np.ndarray, grade: np.ndarray, least_z: float = 6.0, most_words: int = 512, l2: float = 1e-5) -> OrdinalModel:
     """Fit on rows in compressed form: the distinct word hashes of row i are words[indptr[i]:indptr[i + 1]]."""
     grades = np.unique(grade)
     n = len(grade)
@@ -153,12 +166,6 @@ def fit(indptr: np.ndarray, words: np.ndarray, grade: np.ndarray, least_z: float
     return OrdinalModel(vocabulary[good], best[k - 1 :].astype(float), grades, theta)
 
 
-def grade_of(toxic: str = "toxic", quality: str = "quality"):
-    """Severity grade of a label row: 0 clean, 1 toxic, 2 toxic in a text of low quality."""
-    t = F.col(toxic).cast("int")
-    return t + F.when((t == 1) & (F.col(quality) == 0), 1).otherwise(0)
-
-
 def train(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, **options) -> OrdinalModel:
     """Fit on at most ``sample_rows`` labelled documents, chosen by a hash of their ids."""
     spark = docs.sparkSession
@@ -178,8 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", tex
 
     table = rows.mapInArrow(distinct, "grade int, words binary").toArrow()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+    grades = np.array(table.column("grade").to_pylist(), int)
+    keep = distinct_rows(sets)
+    sets, grades = [sets[i] for i in keep], grades[keep]
     indptr = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=int)]).astype(int)
-    return fit(indptr, np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array(table.column("grade").to_pylist(), int), **options)
+    return fit(indptr, np.concatenate(sets) if sets else np.zeros(0, np.uint64), grades, **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", carry: list[str] | None = None, reject_at: float = 0.5) -> DataFrame:
