@@ -11,6 +11,7 @@ from .packing import pack, tokenise
 from .pieces import round_trip
 from .records import read_tokens, token_folder, write_tokens
 from .sharding import shard
+from .substrings import remove_repeats
 from .threshold import quantised, top_k
 from .toxicity import score, train
 
@@ -29,6 +30,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return remove_repeats(docs, carry=["doc_id"], digest=True).select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = train(docs, load(spark, sf_dir, "labels"), F.col("toxic"))
@@ -71,6 +77,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_automata": op2_substring_automata,
     "op3_ordinal_toxicity": op3_ordinal_toxicity,
     "op4_piece_backtracking": op4_piece_backtracking,
     "op5_token_records": op5_token_records,
