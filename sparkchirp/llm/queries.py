@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .exact_dedup import duplicate_groups
+from .lm import score_texts
 from .packing import pack, tokenise
 from .pieces import round_trip
 from .records import read_tokens, token_folder, write_tokens
@@ -51,6 +52,14 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    mark = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return score_texts(docs, mark % 7 != 2, carry=["doc_id"]).select(
+        "row.doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     tokens = tokenise(docs, vocabulary("word_bpe_49k.json"), 1)
@@ -81,6 +90,7 @@ QUERIES = {
     "op3_ordinal_toxicity": op3_ordinal_toxicity,
     "op4_piece_backtracking": op4_piece_backtracking,
     "op5_token_records": op5_token_records,
+    "op6_backoff_automaton": op6_backoff_automaton,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_threshold_top_k": op10_threshold_top_k,
