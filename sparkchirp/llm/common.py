@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,32 +213,58 @@ def binary_column(blob: bytes, offsets: np.ndarray) -> pa.Array:
 
 # --------------------------------------------------------------------------- memory of token ids
 class ChunkMemo:
-    """Ids of text chunks, remembered within a bound.
+    """Packed token ids of text chunks, remembered within a bound.
 
-    ``split`` cuts a text into chunks whose token ids can be found one by one (the caller guarantees that
-    concatenating them gives the ids of the whole text); ``encode`` gives the packed ids of a list of chunks.
+    ``encode`` gives the packed ids (numpy kind ``kind``) of a list of chunks; ``reduce`` may name the parts of
+    a chunk whose ids, one after the other, are those of the chunk.
     """
 
-    def __init__(self, split, encode, most: int = 800_000):
-        self.split, self.encode, self.most, self.known = split, encode, most, {}
+    def __init__(self, encode, kind: str, reduce=None, most: int = 1_200_000):
+        self.encode, self.kind, self.reduce, self.most = encode, kind, reduce or (lambda c: (c,)), most
+        self.known: dict[str, bytes] = {"": b""}
 
-    def packed(self, texts: list) -> list[bytes]:
-        """Packed ids of every text."""
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of distinct chunks."""
         known = self.known
+        out = list(map(known.get, chunks))
+        if None not in out:
+            return out
         if len(known) > self.most:
             known.clear()
-        cut = [self.split(x) for x in texts]
-        new = set()
-        for x in cut:
-            new.update(x)
-        new = [x for x in new if x not in known]
+            known[""] = b""
+        miss = [i for i, x in enumerate(out) if x is None]
+        parts = [self.reduce(chunks[i]) for i in miss]
+        new = list({p for ps in parts for p in ps if p not in known})
         if new:
             known.update(zip(new, self.encode(new), strict=True))
-        look = known.__getitem__
-        return [b"".join(map(look, x)) for x in cut]
-
-
-def text_blocks(texts: list[str], most: int = 1 << 21):
+        for i, ps in zip(miss, parts, strict=True):
+            out[i] = known[chunks[i]] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        return out
+
+    def packed(self, cut: list[str]) -> list[bytes]:
+        """Packed ids of texts that are cut into chunks by NUL characters."""
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
+        coded = lists.values.dictionary_encode()
+        values = self.lookup(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.kind).itemsize
+        start = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(values), self.kind)
+        index = np.asarray(coded.indices)
+        each = size[index]
+        ends = np.zeros(len(index) + 1, np.int64)
+        np.cumsum(each, out=ends[1:])
+        flat = pool[np.repeat(start[index] - ends[:-1], each) + np.arange(ends[-1])]
+        at = ends[np.asarray(lists.offsets)]
+        return [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def packed_lists(self, chunks: list[list[str]]) -> list[bytes]:
+        """Packed ids of texts given as lists of chunks."""
+        distinct = list({c for x in chunks for c in x})
+        look = dict(zip(distinct, self.lookup(distinct), strict=True))
+        return [b"".join([look[c] for c in x]) for x in chunks]
+
+
+def text_blocks(texts: list[str], most: int = 1 << 23):
     """Consecutive slices of about ``most`` characters, one text at least."""
     begin = size = 0
     for i, x in enumerate(texts):

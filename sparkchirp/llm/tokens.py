@@ -21,6 +21,11 @@ _ODD = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‍ -  ⁠
 _RUNS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 
 
+#: Characters whose lower case depends on nothing around them and survives composition.
+_LATIN = re.compile("[^\x01-\u024f]").search
+_JOIN = 64  # chunks encoded in one call
+
+
 class Encoder:
     """Packed little-endian ids (``width`` bytes each) of whole texts."""
 
@@ -34,32 +39,91 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.width = width or (2 if size <= 1 << 16 else 4)
         self.kind = f"<u{self.width}"
-        self.drops_space = self.tokenizer.encode(" \n ", add_special_tokens=False).ids == []
-        self.memo = ChunkMemo(self._split_words if self.drops_space else self._split_runs, self._library)
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.drops_space = ids(" \n ") == []
+        self.folds_case = self.drops_space and ids("ABC É") == ids("abc é")
+        if self.drops_space:
+            self.mark = next((m for m in "¤§¦¬¶±¸·¯¥¢×÷†‡•€™→■★" if len(ids(m)) == 1 and ids(f"a {m} a") == ids("a") + ids(m) + ids("a")), None)
+            self.mark_id = ids(self.mark)[0] if self.mark else None
+            self.memo = ChunkMemo(self._words, self.kind, self._word_parts)
+        else:
+            vocabulary = self.tokenizer.get_vocab()
+            self.bytes_in = np.zeros(size, np.int64)  # byte-level: a character of a token is a byte of the text
+            for token, i in vocabulary.items():
+                self.bytes_in[i] = len(token)
+            self.memo = ChunkMemo(self._runs, self.kind, self._run_parts)
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         kind = self.kind
         return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    @staticmethod
-    def _split_words(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def _words(self, chunks: list[str]) -> list[bytes]:
+        """Ids of words, many in a call with a mark between them whose id tells them apart."""
+        if not self.mark or any(self.mark in c for c in chunks):
+            return self._library(chunks)
+        gap = f" {self.mark} "
+        lists = [chunks[i : i + _JOIN] for i in range(0, len(chunks), _JOIN)]
+        out: list[bytes] = []
+        for part, got in zip(lists, self.tokenizer.encode_batch_fast([gap.join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.kind)
+            at = np.flatnonzero(ids == self.mark_id).tolist()
+            if len(at) != len(part) - 1:
+                out += self._library(part)
+            else:
+                out += [ids[a + 1 : b].tobytes() for a, b in zip([-1, *at], [*at, len(ids)], strict=True)]
+        return out
+
+    def _runs(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; those of one space and a word are encoded many in a call and told apart by their bytes."""
+        plain = [c for c in chunks if len(c) > 1 and c[0] == " " and c[1] not in " \n"]
+        look: dict[str, bytes] = {}
+        lists = [plain[i : i + _JOIN] for i in range(0, len(plain), _JOIN)]
+        for part, got in zip(lists, self.tokenizer.encode_batch_fast(["".join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int64)
+            at = np.searchsorted(np.cumsum(self.bytes_in[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            packed = ids.astype(self.kind)
+            look.update((c, packed[a:b].tobytes()) for c, a, b in zip(part, [0, *at[:-1].tolist()], at.tolist(), strict=True))
+        rest = [c for c in chunks if c not in look]
+        look.update(zip(rest, self._library(rest), strict=True))
+        return [look[c] for c in chunks]
+
+    def _word_parts(self, word: str) -> tuple[str, ...]:
+        """Case folded where that is safe, and a full stop or comma after a letter apart."""
+        if self.folds_case and not word.islower() and not _LATIN(word):
+            word = word.lower()
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            return word[:-1], word[-1]
+        return (word,)
 
     @staticmethod
-    def _split_runs(text: str) -> list[str]:
-        flat = text.replace("\n", " ")
-        if "   " in flat or flat.endswith("  "):
-            return _RUNS(text)
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+    def _run_parts(chunk: str) -> tuple[str, ...]:
+        """A full stop or comma after a letter apart."""
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
+            return chunk[:-1], chunk[-1]
+        return (chunk,)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, in order."""
-        plain = [not _ODD(x) and not any(s in x for s in self.special) for x in texts]
-        if all(plain):
-            return self.memo.packed(texts)
-        fast = iter(self.memo.packed([x for x, p in zip(texts, plain, strict=True) if p]))
-        whole = iter(self._library([x for x, p in zip(texts, plain, strict=True) if not p]))
-        return [next(fast) if p else next(whole) for p in plain]
+        cut: list[str] = []
+        ways = []  # of every text: 0 cut, 1 cut by a pattern, 2 whole
+        runs, whole = [], []
+        for x in texts:
+            if _ODD(x) or any(s in x for s in self.special):
+                ways.append(2)
+                whole.append(x)
+            elif self.drops_space:
+                ways.append(0)
+                cut.append(x.replace("\n", " ").replace(" ", "\x00"))
+            else:
+                flat = x.replace("\n", " ")
+                if "   " in flat or flat.endswith("  "):
+                    ways.append(1)
+                    runs.append(_RUNS(x))
+                else:
+                    ways.append(0)
+                    cut.append(x.replace(" ", "\x00 ").replace("\n", "\x00\n"))
+        done = [iter(self.memo.packed(cut)), iter(self.memo.packed_lists(runs)), iter(self._library(whole))]
+        return [next(done[w]) for w in ways]
 
 
 @functools.lru_cache(4)
