@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import load
 from .exact_dedup import duplicate_groups
 from .lm import score_texts
+from .neardup import near_duplicates
 from .packing import pack, tokenise
 from .pieces import round_trip
 from .records import read_tokens, token_folder, write_tokens
@@ -60,6 +61,10 @@ def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     tokens = tokenise(docs, vocabulary("word_bpe_49k.json"), 1)
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_piece_backtracking": op4_piece_backtracking,
     "op5_token_records": op5_token_records,
     "op6_backoff_automaton": op6_backoff_automaton,
+    "op7_dart_minhash": op7_dart_minhash,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_threshold_top_k": op10_threshold_top_k,
