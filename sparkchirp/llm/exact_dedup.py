@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fan_out, materialise, text_size
+from .common import fan_out, materialise, safe_name, text_size
 
 BROADCAST_ROWS = 100_000  # about 5 MB of (digest, count) rows
 
@@ -31,9 +31,10 @@ def duplicate_groups(
     normalise=None,
     carry: list[str] | None = None,
     hot: int = 128,
+    heads: bool = False,
 ) -> DataFrame:
     """One row for each input row: ``row`` (struct of the carried columns), ``id``, ``keep_id``,
-    ``group_size``, ``kept``, ``text_sha256``.
+    ``group_size``, ``kept``, ``text_sha256``; with ``heads``, only rows that may be kept, and their ``key``.
 
     ``normalise`` maps the text column to the compared column (none: unchanged); ``keep`` says whether the
     ``smallest`` or the ``largest`` id of a group stays.
@@ -67,11 +68,15 @@ def duplicate_groups(
         "id",
         "salt",
         F.sha2(F.col("key").cast("binary"), 256).alias("text_sha256"),
+        *(["key"] if heads else []),
         F.row_number().over(run.orderBy(order)).alias("place"),
         F.count(F.lit(1)).over(run).alias("n"),
         best_of("id").over(run).alias("best"),
     )
-    done = ["row", "id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == 1).alias("kept"), "text_sha256"]
+    more = ["key"] if heads else []
+    if heads:
+        runs = runs.where("place = 1")
+    done = [*more, "row", "id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == 1).alias("kept"), "text_sha256"]
     if not n_hot:
         return runs.select(*done)
     runs = materialise(runs, "text-runs")
@@ -84,6 +89,7 @@ def duplicate_groups(
     hot_rows = runs.where(F.col("salt") >= 0).join(F.broadcast(totals) if few else totals, "text_sha256")
     return runs.where(F.col("salt") < 0).select(*done).unionByName(
         hot_rows.select(
+            *more,
             "row",
             "id",
             F.col("all_best").alias("keep_id"),
@@ -96,4 +102,12 @@ def duplicate_groups(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns unchanged."""
-    return duplicate_groups(docs, id_col, text_col, keep, normalise).where("kept").select("row.*")
+    if normalise is not None:
+        return duplicate_groups(docs, id_col, text_col, keep, normalise, heads=True).where("kept").select("row.*")
+    # the sorted key is the text itself: it travels once
+    blank = safe_name(docs, "_null")
+    others = [c for c in docs.columns if c != text_col]
+    marked = docs.withColumn(blank, F.col(f"`{text_col}`").isNull())
+    kept = duplicate_groups(marked, id_col, text_col, keep, carry=[*others, blank], heads=True).where("kept")
+    text = F.when(~F.col("row").getField(blank), F.col("key")).alias(text_col)
+    return kept.select(*[text if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -100,10 +100,10 @@ def decide(texts: list[bytes], times: list[int], own: list[bool], width: int) ->
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, carry: list[str] | None = None, digest: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, carry: list[str] | None = None, digest: bool = False, untouched: bool = False
 ) -> DataFrame:
     """(row, n_words, n_removed, kept): the carried columns of each document in a struct, and its kept words
-    joined by one space, or with ``digest`` the SHA-256 of that."""
+    joined by one space, or with ``digest`` the SHA-256 of that; with ``untouched``, texts that lose nothing as they were."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     dealt = deal(docs, id_col, text_col, row, GROUP_BYTES, BUCKET_BYTES)
     rows, buckets, parts = dealt.rows, dealt.buckets, dealt.parts
@@ -237,6 +237,9 @@ def remove_repeats(
                 words = left + words[at:]
             n_words.append(n)
             n_removed.append(n - len(words))
+            if untouched and n == len(words):
+                kept.append(t)
+                continue
             x = b" ".join(words)
             kept.append(hashlib.sha256(x).hexdigest() if digest else x.decode())
         row = table.column("row").combine_chunks()
@@ -245,6 +248,14 @@ def remove_repeats(
     return rows.groupBy("g").cogroup(judged.groupBy("g")).applyInArrow(finish, schema)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated spans taken out of the text, other columns as they were; a column of text lengths follows the text."""
+    others = [c for c in docs.columns if c != text_col]
+    out = remove_repeats(docs, id_col, text_col, width, carry=others, untouched=True)
+    fresh = {text_col: F.col("kept"), chars_col: F.char_length("kept").cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
+    return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def by_bucket_low(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``by_bucket``, ordered inside a bucket by the low 32 bits, which are all that is sent."""
     bucket = (keys >> U64(32)) % U64(buckets)
