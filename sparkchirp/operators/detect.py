@@ -65,6 +65,13 @@ def counting(spark, nchans: int, nsamps: int, nbits: int = 8) -> DataFrame:
     return spark.range(0, nsamps * nchans).select(F.expr(f"id div {nchans}").alias("t"), (F.col("id") % nchans).cast("int").alias("ch"), F.pmod(F.col("id") * 7919, F.lit(top + 1)).cast("int").alias("v"))
 
 
+def counting_wide(spark, nchans: int, nsamps: int, nbits: int = 8) -> DataFrame:
+    """(t, v array) of the same kind of pattern."""
+    top = (1 << nbits) - 1
+    ch = F.sequence(F.lit(0), F.lit(nchans - 1))
+    return spark.range(0, nsamps).select(F.col("id").alias("t"), F.transform(ch, lambda c: (c * 7919 + F.col("id") * 104729).bitwiseAND(top).cast("int")).alias("v"))
+
+
 def decimate(long: DataFrame, factor: int, nsamps: int) -> DataFrame:
     """(t, ch, v): whole mean of each ``factor`` samples of a channel; an incomplete group at the end is left out."""
     group = F.expr(f"t div {factor}")

@@ -17,6 +17,7 @@ from ..functions.numeric import scale_output
 from ..spec import GULP_SIZE, Code, ObservationSpec, SearchError
 from .tables import shift_matrix
 
+BLOCK_CELLS = 16 << 20  # outputs of a task
 BROADCAST_CELLS = 2_000_000  # rows of the shift matrix that may be broadcast, about 60 MB
 
 
@@ -56,7 +57,7 @@ def block_sums(x: np.ndarray, shifts: np.ndarray, keep: np.ndarray, n: int) -> n
 
     From one trial to the next only channels whose shift changes are exchanged, where that is less work.
     """
-    out = np.empty((len(shifts), n), np.int64)
+    out = np.empty((len(shifts), n), x.dtype)
     alive = np.flatnonzero(keep)
     before = None
     for i, row in enumerate(shifts):
@@ -87,7 +88,11 @@ def spectra(table: pa.Table, begin: int, samples: int, nchans: int) -> np.ndarra
     t = np.asarray(table.column("t")) - begin
     v = table.column("v").combine_chunks()
     flat = np.asarray(v.flatten()).reshape(len(t), -1)
-    out = np.zeros((nchans, samples), np.int64 if flat.dtype.kind in "iu" else flat.dtype)
+    kind = flat.dtype
+    if kind.kind in "iu":  # 32 bits where no sum over channels can leave them: half the memory traffic
+        top = int(np.abs(flat).max()) if flat.size else 0
+        kind = np.int32 if top * nchans < 1 << 31 else np.int64
+    out = np.zeros((nchans, samples), kind)
     ok = (t >= 0) & (t < samples)
     out[:, t[ok]] = flat[ok, :nchans].T
     return out
@@ -99,20 +104,31 @@ def sums_blocks(
     dms,
     nsamps: int,
     gulp: int = GULP_SIZE,
-    dm_block: int = 64,
+    dm_block: int | None = None,
     first: int = 0,
     count: int | None = None,
     arrays: bool = False,
 ) -> DataFrame:
-    """(dm_idx, dm, t, sum), or with ``arrays`` (dm_idx, dm, gulp, sums), from kernels on (gulp, block of trials)."""
+    """(dm_idx, dm, t, sum), or with ``arrays`` (dm_idx, dm, gulp, sums), from kernels on (gulp, block of trials).
+
+    Each block of trials reads a copy of the spectra, so without ``dm_block`` there are just as many blocks
+    as keep a task's output below ``BLOCK_CELLS`` and the cores busy: one, where there are many gulps.
+    """
     delay = spec.max_delay(dms)
     good = output_samples(nsamps, delay)
     last = len(dms) if count is None else min(len(dms), first + count)
     gulp = max(1, min(gulp, good or 1))
     shifts, keep = spec.shifts(dms), np.array(spec.killmask)
     values = np.asarray(dms, np.float32)
-    nblocks = max(1, -(-(last - first) // dm_block))
-    rows = with_blocks(wide.select(F.col("t").cast("bigint").alias("t"), F.col("v").cast("array<bigint>").alias("v")), gulp, delay, max(0, -(-good // gulp) - 1))
+    trials = max(1, last - first)
+    if dm_block is None:
+        cores = wide.sparkSession.sparkContext.defaultParallelism
+        wanted = max(-(-trials * gulp // BLOCK_CELLS), -(-cores // max(1, -(-good // gulp))))
+        dm_block = -(-trials // min(trials, wanted))
+    nblocks = -(-trials // dm_block)
+    kind = wide.schema["v"].dataType.elementType.simpleString()
+    v = F.col("v") if kind in ("smallint", "int", "bigint") else F.col("v").cast("array<bigint>")
+    rows = with_blocks(wide.select(F.col("t").cast("bigint").alias("t"), v.alias("v")), gulp, delay, max(0, -(-good // gulp) - 1))
     rows = rows.select("t", "v", "gulp", F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("block"))
     nchans = spec.nchans
 
@@ -124,10 +140,10 @@ def sums_blocks(
         sums = block_sums(spectra(table, g * gulp, n + delay, nchans), shifts[a:z], keep, n)
         if arrays:
             offsets = np.arange(len(trial) + 1, dtype=np.int32) * n
-            cols = [pa.array(trial), pa.array(values[a:z]), pa.array([g] * len(trial), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))]
+            cols = [pa.array(trial), pa.array(values[a:z]), pa.array([g] * len(trial), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel().astype(np.int64)))]
             return pa.table(cols, names=["dm_idx", "dm", "gulp", "sums"])
         t = np.tile(np.arange(g * gulp, g * gulp + n), len(trial))
-        return pa.table([pa.array(np.repeat(trial, n)), pa.array(np.repeat(values[a:z], n)), pa.array(t), pa.array(sums.ravel())], names=["dm_idx", "dm", "t", "sum"])
+        return pa.table([pa.array(np.repeat(trial, n)), pa.array(np.repeat(values[a:z], n)), pa.array(t), pa.array(sums.ravel().astype(np.int64))], names=["dm_idx", "dm", "t", "sum"])
 
     schema = "dm_idx int, dm float, gulp int, sums array<bigint>" if arrays else "dm_idx int, dm float, t bigint, sum bigint"
     if last <= first or not good:

@@ -59,7 +59,7 @@ def stream_sums(wide: DataFrame, spec: ObservationSpec, dms) -> DataFrame:
                     "dm_idx": np.repeat(np.arange(len(sums), dtype=np.int32), n),
                     "dm": np.repeat(values, n),
                     "t": np.tile(np.arange(first, first + n), len(sums)),
-                    "sum": sums.ravel(),
+                    "sum": sums.ravel().astype(np.int64),
                 }
             )
 
