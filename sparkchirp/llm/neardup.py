@@ -84,7 +84,7 @@ def dart_minhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray | None, n_
                 if not inside.any():
                     break
                 d, w = d0[inside], w0[inside]
-                state = mix(e0[inside] + U64(level) * _BAND)
+                state = mix(e0[inside] + np.full(1, level, U64) * _BAND)
             else:
                 d, w, state = d0, None, mix(e0)
             time = np.zeros(len(d))

@@ -260,7 +260,7 @@ def encode_column(path: str, texts: list[str]) -> list[bytes]:
     memo = _memo(path)
     cut, runs, fast = [], [], []
     for x in texts:
-        fast.append("  " not in x and MARK not in x and "\x00" not in x)
+        fast.append(not x.startswith(" ") and "  " not in x and MARK not in x and "\x00" not in x)
         if fast[-1]:
             cut.append((MARK + x).replace(" ", "\x00" + MARK).replace("\n", "\x00\n\x00") if x else "")
         else:
