@@ -127,4 +127,33 @@ SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op2_substring_automata": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM pos),
+        rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win JOIN rep USING (k), range(35) r(o)),
+        word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_dart_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0
+        ), sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM pos
+        ), size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), near AS (
+            SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9
+            UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id
+        ), link AS (SELECT a, b FROM near UNION SELECT b, a FROM near
+        ), reach(a, b) AS (
+            SELECT doc_id, doc_id FROM w
+            UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+        )
+        SELECT a AS doc_id, min(b) AS class_id, min(b) = a AS kept FROM reach GROUP BY a
+    """,
 }
