@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, pieces, text_size
 from .components import components
 
+BLOCK_BYTES = 3 << 20  # text that is signed at a time
 _STEP, _AIM, _BAND = U64(0x9E3779B97F4A7C15), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -180,7 +181,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     def work(batches):
         for batch in batches:
             size = np.diff(np.asarray(batch.column(2).cast(pa.large_string()).offsets) if hasattr(batch.column(2), "offsets") else np.concatenate([[0], np.cumsum([len(x or "") for x in batch.column(2).to_pylist()])]))
-            bounds = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + (8 << 20), 8 << 20), "right")
+            bounds = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + BLOCK_BYTES, BLOCK_BYTES), "right")
             for a, b in zip(bounds[:-1].tolist(), [*bounds[1:-1].tolist(), len(batch)], strict=True):
                 if a == b:
                     continue
@@ -242,24 +243,29 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     signed = signatures(docs, id_col, text_col, width, bands, rows, weighted)
-    texts = materialise(signed.groupBy("sha").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("bands").alias("bands")), "texts")
+    keeper = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row"))
+    texts = materialise(signed.groupBy("sha").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.first("bands").alias("bands"), keeper.alias("keeper")), "texts")
 
+    # every text with a bucket of its own bands that others share: the smallest and largest of these buckets
     keyed = texts.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1").drop("n")
-    star = keyed.join(buckets, "key").select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("low").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("e"))
-    clusters = materialise(components(star.select("e.a", "e.b")), "clusters").withColumnRenamed("root", "cluster")
-
+    star = keyed.join(buckets, "key").groupBy("node").agg(F.min("low").alias("label"), F.array_union(F.collect_set("low"), F.collect_set("high")).alias("near"))
+    star = materialise(star, "stars")
+    # the component of each text's smallest neighbour: nearly all links end there already
+    hubs = components(star.select(F.explode("near").alias("a"), F.col("label").alias("b")))
+    clusters = star.select("node", "label").join(hubs.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("cluster"))
+    clusters = materialise(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "cluster").join(texts.select("node", "sha", "id"), "node")
-    members = materialise(members, "members")
-    n_members, split = members.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1))).first()
+    members = materialise(clusters.join(sizes, "cluster").join(texts.select("node", "sha", "id"), "node"), "members")
 
+    # their texts: one pass over the documents, joined by a merge whatever the size, so that no side is gathered
     _, size = text_size(docs, f"`{text_col}`")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    found = members.alias("m").join(source.alias("s"), F.col("m.sha").eqNullSafe(F.col("s.sha")) & F.col("m.id").eqNullSafe(F.col("s.id")))
-    found = found.select("m.node", "m.cluster", "m.blocks", "s.text")
-    parts = fan_out(spark, size, 4 << 20)
+    found = members.alias("m").join(source.alias("s").hint("merge"), F.col("m.sha").eqNullSafe(F.col("s.sha")) & F.col("m.id").eqNullSafe(F.col("s.id")))
+    found = materialise(found.select("m.node", "m.cluster", "m.blocks", "s.text"), "member-texts")
+    split, held = found.agg(F.count(F.when(F.col("blocks") > 1, 1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = fan_out(spark, held, 4 << 20)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), 4 * F.col("blocks")) == 0)
@@ -274,7 +280,7 @@ def near_duplicates(
         main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         rest = materialise(rooted.join(main, "cluster").where("root <> main").select("node", "cluster"), "rest")
         over = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-        if over.limit(1).count():
+        if rest.limit(1).count():
             again = found.where("blocks > 1").join(over, "cluster")
             many = 1 << 20  # parts are numbered block * many + chunk
             chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -285,13 +291,15 @@ def near_duplicates(
         roots = components(links.select("a", "b"))
     else:
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))  # already stars on the smallest node
-
-    named = texts.select("sha", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialise(named, "classes")
-    names = named.groupBy("root").agg(F.min("id").alias("class_id"), F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
-    classes = named.join(names, "root").select("sha", "class_id", (F.col("node") == F.col("best")).alias("best"))
-    least_row = signed.groupBy("sha").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("keeper"))
-    classes = materialise(classes.join(least_row, "sha"), "text-classes")
+        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+    # classes of more than one text; every other text is a class of its own
+    joined = roots.join(texts.select("node", "id"), "node")
+    names = joined.groupBy("root").agg(F.min("id").alias("class_id"), F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
+    named = joined.join(names, "root").select("node", "class_id", (F.col("node") == F.col("best")).alias("best"))
+    classes = texts.select("sha", "node", "id", "keeper").join(named, "node", "left")
+    own_class = F.col("best").isNull()
+    classes = classes.select("sha", F.when(own_class, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), (own_class | F.col("best")).alias("best"), "keeper")
     return signed.select("row", "id", "sha").join(classes, "sha").select("id", "sha", "class_id", (F.col("best") & (F.col("row") == F.col("keeper"))).alias("kept"))
 
 
