@@ -56,22 +56,32 @@ def block_sums(x: np.ndarray, shifts: np.ndarray, keep: np.ndarray, n: int) -> n
     """Sums (trials x n) of a block x (channels x samples); shifts (trials x channels).
 
     From one trial to the next only channels whose shift changes are exchanged, where that is less work.
+    16-bit samples are added up in 16 bits for as many channels as cannot overflow, then in 32.
     """
-    out = np.empty((len(shifts), n), x.dtype)
+    narrow = x.dtype == np.uint16
+    out = np.empty((len(shifts), n), np.int32 if narrow else x.dtype)
     alive = np.flatnonzero(keep)
+    few = max(1, 65535 // max(1, int(x.max()))) if narrow and x.size else len(alive)
+    part = np.empty(n, x.dtype)
     before = None
     for i, row in enumerate(shifts):
         changed = alive if before is None else alive[row[alive] != before[alive]]
         acc = out[i]
-        if before is not None and 2 * len(changed) < len(alive):
+        if before is not None and (4 if narrow else 2) * len(changed) < len(alive):
             acc[:] = out[i - 1]
             for c in changed.tolist():
                 acc -= x[c, before[c] : before[c] + n]
                 acc += x[c, row[c] : row[c] + n]
         else:
             acc[:] = 0
-            for c in alive.tolist():
-                acc += x[c, row[c] : row[c] + n]
+            for a in range(0, len(alive), max(1, few)):
+                into = part if narrow else acc
+                if narrow:
+                    part[:] = 0
+                for c in alive[a : a + few].tolist():
+                    into += x[c, row[c] : row[c] + n]
+                if narrow:
+                    acc += part
         before = row
     return out
 
@@ -89,9 +99,10 @@ def spectra(table: pa.Table, begin: int, samples: int, nchans: int) -> np.ndarra
     v = table.column("v").combine_chunks()
     flat = np.asarray(v.flatten()).reshape(len(t), -1)
     kind = flat.dtype
-    if kind.kind in "iu":  # 32 bits where no sum over channels can leave them: half the memory traffic
-        top = int(np.abs(flat).max()) if flat.size else 0
-        kind = np.int32 if top * nchans < 1 << 31 else np.int64
+    if kind.kind in "iu":  # as few bits as sums over channels allow: less memory traffic
+        low, top = (int(flat.min()), int(flat.max())) if flat.size else (0, 0)
+        wide = max(-low, top) * nchans >= 1 << 31
+        kind = np.int64 if wide else np.uint16 if low >= 0 and top < 4096 else np.int32
     out = np.zeros((nchans, samples), kind)
     ok = (t >= 0) & (t < samples)
     out[:, t[ok]] = flat[ok, :nchans].T

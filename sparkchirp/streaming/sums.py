@@ -32,6 +32,8 @@ def advance(begin: int, held: dict[int, np.ndarray], delay: int, shifts: np.ndar
     if n <= delay:
         return begin, None
     x = np.stack([held[begin + k] for k in range(n)], axis=1)
+    if x.size and x.min() >= 0 and x.max() < 4096:
+        x = x.astype(np.uint16)
     sums = block_sums(x, shifts, keep, n - delay)
     for k in range(n - delay):
         del held[begin + k]
