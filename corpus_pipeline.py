@@ -41,7 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 tokens, sources mixed by their share."""
-    return pack(tokenise(docs, vocabulary("word_bpe_49k.json"), 1)).withColumnRenamed("id", "doc_id")
+    return pack(tokenise(docs, vocabulary("word_bpe_49k.json"), 1, remember=250_000, block_chars=1 << 21)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -276,6 +278,36 @@ def text_blocks(texts: list[str], most: int = 1 << 23):
         yield begin, len(texts)
 
 
+def row_slices(column: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
+    """Consecutive row ranges of about ``most`` bytes of a string column, one row at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    out, a = [], 0
+    while a < len(ends):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
+def tidy() -> None:
+    """Give memory that Python has freed back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work):
+    """A function on Arrow batches that starts and ends with ``tidy``."""
+
+    def wrapped(batches):
+        tidy()
+        yield from work(batches)
+        tidy()
+
+    return wrapped
+
+
 def safe_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, pieces, text_size
+from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, row_slices, text_size, tidied
 from .components import components
 
 BLOCK_BYTES = 3 << 20  # text that is signed at a time
@@ -180,11 +180,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
     def work(batches):
         for batch in batches:
-            size = np.diff(np.asarray(batch.column(2).cast(pa.large_string()).offsets) if hasattr(batch.column(2), "offsets") else np.concatenate([[0], np.cumsum([len(x or "") for x in batch.column(2).to_pylist()])]))
-            bounds = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + BLOCK_BYTES, BLOCK_BYTES), "right")
-            for a, b in zip(bounds[:-1].tolist(), [*bounds[1:-1].tolist(), len(batch)], strict=True):
-                if a == b:
-                    continue
+            for a, b in row_slices(batch.column(2), BLOCK_BYTES):
                 part = batch.slice(a, b - a)
                 doc, key, count = shingles(part.column(2), width)
                 sig = dart_minhash(doc, key, count.astype(np.float64) if weighted else None, b - a, bands * rows)
@@ -193,7 +189,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))], names=["id", "sha", "bands"])
 
-    out = base.mapInArrow(work, f"id {kind}, sha binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    out = base.mapInArrow(tidied(work), f"id {kind}, sha binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
     return materialise(out, "signatures")
 
 

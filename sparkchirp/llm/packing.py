@@ -25,14 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fan_out, materialise, pieces, text_blocks
+from .common import fan_out, materialise, pieces, text_blocks, tidied
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 20
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, id, source, n, ids) of every document, written to the shared folder; ``row`` numbers the rows."""
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", remember: int = 1_200_000, block_chars: int = 1 << 23) -> DataFrame:
+    """(row, id, source, n, ids) of every document, written to the shared folder; ``row`` numbers the rows.
+
+    ``remember`` bounds the chunks a worker keeps the ids of (about 200 bytes each) and ``block_chars`` the text
+    it encodes at a time: more memory, less time.
+    """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     )
@@ -40,17 +44,18 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
 
     def work(batches):
         enc = encoder(tokenizer)
+        enc.memo.most = remember
         end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             text = batch.column(2).to_pylist()
-            for a, b in text_blocks(text):
+            for a, b in text_blocks(text, block_chars):
                 ids = [x + end for x in enc.packed(text[a:b])]
                 n = pa.array([len(x) // enc.width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), n, pa.array([enc.width] * (b - a), pa.int32()), pa.array(ids, pa.binary())], names=schema.names
                 )
 
-    return materialise(rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    return materialise(rows.mapInArrow(tidied(work), schema).withColumn("row", F.monotonically_increasing_id()), "token-ids")
 
 
 def running(df: DataFrame, part: str, order: list, amount: str, out: str) -> DataFrame:
@@ -142,4 +147,4 @@ def pack(tokens: DataFrame, length: int = 2048, window_sequences: int = 32, targ
                 idx = pa.array(take, pa.int32())
                 yield pa.RecordBatch.from_arrays([keys.take(idx), sources.take(idx), *cols, *([pa.array(blobs, pa.binary())] if with_ids else [])], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(tidied(work), schema)

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-from .common import ALNUM, Words, mix
+from .common import ALNUM, Words, mix, row_slices, tidied
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -178,12 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", tex
 
     def distinct(batches):
         for batch in batches:
-            w = Words(batch.column(1), ALNUM)
-            h = w.hashes(lower=True)
-            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["grade", "words"])
+            for a, b in row_slices(batch.column(1)):
+                w = Words(batch.column(1).slice(a, b - a), ALNUM)
+                h = w.hashes(lower=True)
+                sets = [np.unique(h[i:j]).tobytes() for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["grade", "words"])
 
-    table = rows.mapInArrow(distinct, "grade int, words binary").toArrow()
+    table = rows.mapInArrow(tidied(distinct), "grade int, words binary").toArrow()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
     grades = np.array(table.column("grade").to_pylist(), int)
     keep = distinct_rows(sets)
@@ -201,10 +202,13 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", carry: l
 
     def work(batches):
         for batch in batches:
-            severity, p, grade = model.severity(batch.column(1))
+            parts = [model.severity(batch.column(1).slice(a, b - a)) for a, b in row_slices(batch.column(1))]
+            if not parts:
+                continue
+            severity, p, grade = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(p), pa.array(grade.astype(np.int32)), pa.array(p >= reject_at)], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(tidied(work), schema)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
