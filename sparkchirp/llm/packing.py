@@ -72,7 +72,7 @@ def running(df: DataFrame, part: str, order: list, amount: str, out: str) -> Dat
     return inside.join(sums, part).withColumn(out, F.col("_parts") + F.col("_in")).drop("_in", "_parts")
 
 
-def schedule(rows: DataFrame, length: int, window_sequences: int = 32, targets: dict[str, float] | None = None, bucket_rows: int = 10_000) -> DataFrame:
+def schedule(rows: DataFrame, length: int, window_sequences: int = 32, targets: dict[str, float] | None = None, bucket_rows: int = 2_000) -> DataFrame:
     """(row, start, len, at): chunks of at most ``length`` tokens and their place in the output.
 
     ``rows`` has row, source and n.  ``targets`` maps sources to weights (default: their tokens; a source
