@@ -3,8 +3,10 @@
 Rows are range-partitioned on their normalised text by sampled splitters (``repartitionByRange``), sorted
 externally inside each partition, and adjacent rows are compared on the full text by the window that
 follows: it needs no further shuffle, because the range partitioning already keeps equal keys together.
+Splitters are the first ``PREFIX`` characters, a digest of the whole text for texts that start alike, and
+the salt: the sample that reaches the driver holds no whole texts, however long they are.
 
-Groups of more than ``hot`` copies get a salt after the text in the sort key, one value for about ``hot``
+Groups of more than ``hot`` copies get a salt in the sort key, one value for about ``hot``
 rows, so that a group holding a third of all rows spreads over many tasks; their partial results (one row a
 salt) are then added up.  Nothing is dropped or capped.
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import fan_out, materialise, safe_name, text_size
 
+PREFIX = 32
 BROADCAST_ROWS = 100_000  # about 5 MB of (digest, count) rows
 
 
@@ -59,10 +62,12 @@ def duplicate_groups(
         salts = F.ceil(F.col("n") / F.lit(hot))
         base = base.withColumn("salt", F.when(F.col("n").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("id"), salts)))
     else:
-        base = base.withColumn("salt", F.lit(-1).cast("long"))
+        base = base.withColumn("digest", F.xxhash64("key")).withColumn("salt", F.lit(-1).cast("long"))
 
-    sorted_rows = base.select("row", "id", "key", "salt").repartitionByRange(fan_out(spark, size), "key", "salt")
-    run = Window.partitionBy("key", "salt")
+    splitter = ["prefix", "digest", *(["salt"] if n_hot else [])]  # a constant would cost the window a shuffle of its own
+    base = base.select("row", "id", "key", F.substring("key", 1, PREFIX).alias("prefix"), "digest", "salt")
+    sorted_rows = base.repartitionByRange(fan_out(spark, size), *splitter)
+    run = Window.partitionBy(*splitter, "key")
     runs = sorted_rows.select(
         "row",
         "id",

@@ -77,3 +77,9 @@ def test_growing_moves_slots_only_to_the_new_shard(spark, tmp_path):
     for m in (first, second):
         stored = m.store(spark, str(tmp_path / "map")).orderBy("vslot").collect()
         assert tuple(r.shard for r in stored) == m.shard_of
+
+
+def test_content_is_shuffled_once(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    plan = duplicate_groups(docs, hot=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(prefix" in plan
