@@ -48,11 +48,26 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.argsort(np.asarray(table.column("h")), kind="stable")))
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds): ``keys[order]`` lies by bucket and then key, bucket b at bounds[b]:bounds[b + 1]."""
-    bucket = (keys >> U64(32)) % U64(buckets)
-    order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
+class Buckets:
+    """``keys[order]`` lies by bucket and then key; ``ids[i]`` is a bucket that has keys, at bounds[i]:bounds[i + 1]."""
+
+    def __init__(self, keys: np.ndarray, buckets: int, low: bool = False):
+        bucket = (keys >> U64(32)) % U64(buckets)
+        self.order = np.lexsort((keys & U64(0xFFFFFFFF) if low else keys, bucket))
+        bucket = bucket[self.order]
+        first = runs(bucket)
+        self.ids = bucket[first].astype(np.int64)
+        self.bounds = np.concatenate([first, [len(bucket)]])
+
+    def parts(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values in the order of the keys, one array a bucket."""
+        values = values[self.order]
+        return [values[a:b] for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)]
+
+    def places(self, bucket: int) -> np.ndarray:
+        """Which keys lie in a bucket, in the order they were sent."""
+        i = int(np.searchsorted(self.ids, bucket))
+        return self.order[self.bounds[i] : self.bounds[i + 1]]
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:

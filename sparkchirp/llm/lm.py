@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, Words, mix
-from .exchange import by_bucket, deal, narrow, ordered, runs
+from .exchange import Buckets, deal, narrow, ordered, runs
 
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -113,22 +113,19 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def keyed(table: pa.Table):
         t = Tokens(table.column("text"), order)
         distinct, back = np.unique(np.concatenate([*t.keys, np.zeros(1, U64)]), return_inverse=True)
-        order_, bounds = by_bucket(distinct, buckets)
-        return t, distinct, back, order_, bounds
+        return t, distinct, back, Buckets(distinct, buckets)
 
     def send(table: pa.Table) -> pa.Table:
         table = ordered(table)
-        t, distinct, back, at, bounds = keyed(table)
+        t, distinct, back, by = keyed(table)
         learn = np.asarray(table.column("train").combine_chunks().fill_null(False))
         taught = np.tile(np.repeat(learn, np.diff(t.first)), order).astype(np.float64)
         count = np.bincount(back[:-1], weights=taught, minlength=len(distinct)).astype(np.int64)
         count[back[-1]] = learn.sum()
-        keys, count = distinct[at], count[at]
         g = table.column("g")[0].as_py()
-        full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-        packed = [narrow(count[bounds[b] : bounds[b + 1]]) for b in full]
+        packed = [narrow(x) for x in by.parts(count)]
         return pa.table(
-            [pa.array(full, pa.int32()), pa.array([g] * len(full), pa.int32()), pa.array([keys[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary())]
+            [pa.array(by.ids, pa.int32()), pa.array([g] * len(by.ids), pa.int32()), pa.array([x.tobytes() for x in by.parts(distinct)], pa.binary())]
             + [pa.array([w for w, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())],
             names=["bucket", "g", "keys", "width", "counts"],
         )
@@ -170,14 +167,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             kinds = [table.schema.field("row").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
         table = ordered(table)
-        t, distinct, back, at, bounds = keyed(table)
+        t, distinct, back, by = keyed(table)
         total = np.zeros(len(distinct), np.int64)
         tokens = types = 0
         for b, w, x, n_tokens, n_types in zip(*(replies.column(c).to_pylist() for c in ("bucket", "width", "totals", "tokens", "types")), strict=True):
             if b < 0:
                 tokens, types = n_tokens, n_types
             else:
-                total[at[bounds[b] : bounds[b + 1]]] = np.frombuffer(x, f"<u{w}")
+                total[by.places(b)] = np.frombuffer(x, f"<u{w}")
         n = len(t.token)
         counts = [total[back[m * n : (m + 1) * n]] for m in range(order)]
         contexts = [t.context(counts[m], m + 1, int(total[back[-1]])) for m in range(order - 1)]

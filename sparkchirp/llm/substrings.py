@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
 from .common import U64, Words, gram_starts, grams
-from .exchange import by_bucket, deal, ordered, runs
+from .exchange import Buckets, deal, ordered, runs
 
 GROUP_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 
@@ -111,22 +111,18 @@ def remove_repeats(
     def keyed(table):
         w, start, key = windows_of(table.column("text"), width)
         distinct, back, times = np.unique(key, return_inverse=True, return_counts=True)
-        order, bounds = by_bucket_low(distinct, buckets)
-        return w, start, distinct, back, times, order, bounds
+        return w, start, distinct, back, times, Buckets(distinct, buckets, low=True)  # the low 32 bits are all that is sent
 
     def send(table: pa.Table) -> pa.Table:
         table = ordered(table)
-        _, _, distinct, _, times, order, bounds = keyed(table)
-        low = (distinct & U64(0xFFFFFFFF)).astype("<u4")[order]
-        again = times[order] > 1
+        _, _, distinct, _, times, by = keyed(table)
         g = table.column("g")[0].as_py()
-        full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
         return pa.table(
             [
-                pa.array(full, pa.int32()),
-                pa.array([g] * len(full), pa.int32()),
-                pa.array([low[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()),
-                pa.array([np.packbits(again[bounds[b] : bounds[b + 1]]).tobytes() for b in full], pa.binary()),
+                pa.array(by.ids, pa.int32()),
+                pa.array([g] * len(by.ids), pa.int32()),
+                pa.array([x.tobytes() for x in by.parts((distinct & U64(0xFFFFFFFF)).astype("<u4"))], pa.binary()),
+                pa.array([np.packbits(x).tobytes() for x in by.parts(times > 1)], pa.binary()),
             ],
             names=["bucket", "g", "keys", "again"],
         )
@@ -165,10 +161,10 @@ def remove_repeats(
         if not table.num_rows or not replies.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         table = ordered(table)
-        w, start, distinct, back, _, order, bounds = keyed(table)
+        w, start, distinct, back, _, by = keyed(table)
         repeated, owner = np.zeros(len(distinct), np.bool_), np.zeros(len(distinct), np.int32)
         for b, bits, owners in zip(*(replies.column(c).to_pylist() for c in ("bucket", "repeated", "owner")), strict=True):
-            part = order[bounds[b] : bounds[b + 1]]
+            part = by.places(b)
             part = part[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)]
             repeated[part], owner[part] = True, np.frombuffer(owners, "<i4")
         at = np.flatnonzero(repeated[back])
@@ -254,10 +250,3 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = remove_repeats(docs, id_col, text_col, width, carry=others, untouched=True)
     fresh = {text_col: F.col("kept"), chars_col: F.char_length("kept").cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
     return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
-
-
-def by_bucket_low(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``by_bucket``, ordered inside a bucket by the low 32 bits, which are all that is sent."""
-    bucket = (keys >> U64(32)) % U64(buckets)
-    order = np.lexsort((keys & U64(0xFFFFFFFF), bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
