@@ -52,6 +52,21 @@ def sums_relational(long: DataFrame, spec: ObservationSpec, dms, nsamps: int, fi
     return moved.where((F.col("t") >= 0) & (F.col("t") < good)).groupBy("dm_idx", "dm", "t").agg(F.sum("v").cast("bigint").alias("sum"))
 
 
+def sums_subbands(long: DataFrame, spec: ObservationSpec, dms, nsamps: int, bands: int) -> DataFrame:
+    """(dm_idx, dm, band, t, sum): sums over each of ``bands`` equal groups of channels; ``add_subbands`` joins them."""
+    good = output_samples(nsamps, spec.max_delay(dms))
+    shifts = shift_matrix(long.sparkSession, spec, dms)
+    if len(dms) * spec.nchans <= BROADCAST_CELLS:
+        shifts = F.broadcast(shifts)
+    band = F.floor(F.col("ch") * bands / spec.nchans).cast("int")
+    moved = long.join(shifts, "ch").select("dm_idx", "dm", band.alias("band"), (F.col("t") - F.col("shift")).alias("t"), (F.col("v") * F.col("keep")).alias("v"))
+    return moved.where((F.col("t") >= 0) & (F.col("t") < good)).groupBy("dm_idx", "dm", "band", "t").agg(F.sum("v").cast("bigint").alias("sum"))
+
+
+def add_subbands(bands: DataFrame) -> DataFrame:
+    return bands.groupBy("dm_idx", "dm", "t").agg(F.sum("sum").cast("bigint").alias("sum"))
+
+
 def block_sums(x: np.ndarray, shifts: np.ndarray, keep: np.ndarray, n: int) -> np.ndarray:
     """Sums (trials x n) of a block x (channels x samples); shifts (trials x channels).
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, numeric
 from ..functions.codec import expand, rescale
 from ..operators import detect, fourier, tables, timedomain
+from ..operators.decimate import decimate_wide
 from ..sources import benchlog
 from ..spec import MESSAGES, ObservationSpec, adaptive_dms, linear_dms
 from ..streaming.sums import stream_to_table
@@ -105,6 +106,18 @@ def packed_query(spark, sf_dir):
     return unpack(pack(wide, 4), 4, SPEC.nchans).select("t", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("sum"))
 
 
+def subband_query(spark, sf_dir):
+    wide = filterbank(spark, sf_dir)
+    return timedomain.sums_subbands(timedomain.to_long(wide), SPEC, DMS, _samples(wide), 8).drop("dm")
+
+
+def coarse_query(spark, sf_dir):
+    """Spectra joined two by two, then summed."""
+    wide = filterbank(spark, sf_dir)
+    n = _samples(wide)
+    return decimate_wide(wide, 2, n).select("t", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("sum"))
+
+
 def zero_query(spark, sf_dir):
     wide = filterbank(spark, sf_dir)
     return timedomain.sums_relational(timedomain.to_long(wide), SPEC, [0.0], _samples(wide)).drop("dm_idx", "dm")
@@ -176,7 +189,10 @@ QUERIES = {
     "tdd_head_n": lambda s, d: detect.head_even(_sums(s, d), 51),
     "tdd_blocks": blocks_query,
     "tdd_gulped": gulps_query,
+    "tdd_subbands": subband_query,
+    "tdd_subbands_added": lambda s, d: timedomain.add_subbands(timedomain.sums_subbands(timedomain.to_long(filterbank(s, d)), SPEC, DMS, _samples(filterbank(s, d)), 5)),
     "tdd_zero_dm": zero_query,
+    "decimate_wide_2": coarse_query,
     "decimate_4": lambda s, d: detect.decimate(timedomain.to_long(filterbank(s, d)), 4, _samples(filterbank(s, d))),
     "channel_stats": lambda s, d: rounded_statistics(detect.statistics(timedomain.to_long(filterbank(s, d)), ["ch"], "v")),
     "global_stats": lambda s, d: rounded_statistics(detect.statistics(timedomain.to_long(filterbank(s, d)), None, "v")),
@@ -295,6 +311,13 @@ SQL = {
     "tdd_head_n": f"{TS} WHERE t < 50",
     "tdd_blocks": TS,
     "tdd_gulped": TS,
+    "tdd_subbands": f"""
+        WITH {sums_sql()} SELECT dm_idx, (ch // 8)::INTEGER AS band, t - shift AS t, sum(v)::BIGINT AS sum
+        FROM fb JOIN shifts USING (ch), n, maxd WHERE t - shift >= 0 AND t - shift < n - maxd GROUP BY ALL""",
+    "tdd_subbands_added": TS,
+    "decimate_wide_2": f"""
+        WITH {FB}, d AS (SELECT t // 2 AS t, ch, floor(sum(v) / 2)::BIGINT AS v FROM fb, n WHERE t < n // 2 * 2 GROUP BY t // 2, ch)
+        SELECT t, sum(v)::BIGINT AS sum FROM d GROUP BY t""",
     "tdd_zero_dm": f"WITH {FB} SELECT t, sum(v)::BIGINT AS sum FROM fb GROUP BY t",
     "decimate_4": f"WITH {FB} SELECT t // 4 AS t, ch, floor(sum(v) / 4)::INTEGER AS v FROM fb, n WHERE t < n // 4 * 4 GROUP BY t // 4, ch",
     "channel_stats": f"WITH {FB} SELECT ch, {STATS} FROM fb GROUP BY ch",
