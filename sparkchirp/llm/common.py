@@ -251,13 +251,20 @@ class ChunkMemo:
         size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.kind).itemsize
         start = np.cumsum(size) - size
         pool = np.frombuffer(b"".join(values), self.kind)
-        index = np.asarray(coded.indices)
-        each = size[index]
-        ends = np.zeros(len(index) + 1, np.int64)
-        np.cumsum(each, out=ends[1:])
-        flat = pool[np.repeat(start[index] - ends[:-1], each) + np.arange(ends[-1])]
-        at = ends[np.asarray(lists.offsets)]
-        return [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        index, bounds = np.asarray(coded.indices), np.asarray(lists.offsets)
+        out: list[bytes] = []
+        a = 0
+        while a < len(cut):  # a million chunks at a time
+            b = min(len(cut), max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1))
+            part = index[bounds[a] : bounds[b]]
+            each = size[part]
+            ends = np.zeros(len(part) + 1, np.int64)
+            np.cumsum(each, out=ends[1:])
+            flat = pool[np.repeat(start[part] - ends[:-1], each) + np.arange(ends[-1])]
+            at = ends[bounds[a : b + 1] - bounds[a]].tolist()
+            out += [flat[p:q].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
+            a = b
+        return out
 
     def packed_lists(self, chunks: list[list[str]]) -> list[bytes]:
         """Packed ids of texts given as lists of chunks."""

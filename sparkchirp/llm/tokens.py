@@ -24,6 +24,14 @@ _RUNS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 #: Characters whose lower case depends on nothing around them and survives composition.
 _LATIN = re.compile("[^\x01-\u024f]").search
 _JOIN = 64  # chunks encoded in one call
+_JOIN_LETTERS = 512  # of letters alone
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -31,7 +39,7 @@ class Encoder:
 
     def __init__(self, path: str, width: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
@@ -41,48 +49,64 @@ class Encoder:
         self.kind = f"<u{self.width}"
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.drops_space = ids(" \n ") == []
+        # words of letters are one token of the pre-tokenizer and need no normaliser: the model alone encodes them,
+        # many in a call, told apart by the bytes of their tokens (letters of tokens stand for bytes)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = str.maketrans(byte_letters() | {10: " "})
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.bytes_in = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_in[i] = len(token.removesuffix(suffix) if suffix else token)
         self.folds_case = self.drops_space and ids("ABC É") == ids("abc é")
         if self.drops_space:
             self.mark = next((m for m in "¤§¦¬¶±¸·¯¥¢×÷†‡•€™→■★" if len(ids(m)) == 1 and ids(f"a {m} a") == ids("a") + ids(m) + ids("a")), None)
             self.mark_id = ids(self.mark)[0] if self.mark else None
             self.memo = ChunkMemo(self._words, self.kind, self._word_parts)
         else:
-            vocabulary = self.tokenizer.get_vocab()
-            self.bytes_in = np.zeros(size, np.int64)  # byte-level: a character of a token is a byte of the text
-            for token, i in vocabulary.items():
-                self.bytes_in[i] = len(token)
             self.memo = ChunkMemo(self._runs, self.kind, self._run_parts)
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         kind = self.kind
         return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _by_bytes(self, tokenizer, texts: list[str], parts: list[list[str]]) -> dict[str, bytes]:
+        """Ids of the chunks of each text, told apart by their bytes."""
+        look: dict[str, bytes] = {}
+        for part, got in zip(parts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int64)
+            at = (np.searchsorted(np.cumsum(self.bytes_in[ids]), np.cumsum([len(c.encode()) for c in part])) + 1) * self.width
+            packed = ids.astype(self.kind).tobytes()
+            look.update((c, packed[a:b]) for c, a, b in zip(part, [0, *at[:-1].tolist()], at.tolist(), strict=True))
+        return look
+
+    def _of_letters(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks of letters (with one space before, where the vocabulary keeps it)."""
+        parts = [chunks[i : i + _JOIN_LETTERS] for i in range(0, len(chunks), _JOIN_LETTERS)]
+        return self._by_bytes(self.model, ["\n".join(x).encode().decode("latin-1").translate(self.letters) for x in parts], parts)
+
     def _words(self, chunks: list[str]) -> list[bytes]:
-        """Ids of words, many in a call with a mark between them whose id tells them apart."""
-        if not self.mark or any(self.mark in c for c in chunks):
-            return self._library(chunks)
+        """Ids of words: letters by the model alone, others many in a call with a mark between them whose id tells them apart."""
+        look = self._of_letters([c for c in chunks if c.isalpha() and c.islower() and not _LATIN(c)])
+        rest = [c for c in chunks if c not in look]
+        marked = [c for c in rest if self.mark and self.mark not in c]
         gap = f" {self.mark} "
-        lists = [chunks[i : i + _JOIN] for i in range(0, len(chunks), _JOIN)]
-        out: list[bytes] = []
+        lists = [marked[i : i + _JOIN] for i in range(0, len(marked), _JOIN)]
         for part, got in zip(lists, self.tokenizer.encode_batch_fast([gap.join(x) for x in lists], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.kind)
             at = np.flatnonzero(ids == self.mark_id).tolist()
-            if len(at) != len(part) - 1:
-                out += self._library(part)
-            else:
-                out += [ids[a + 1 : b].tobytes() for a, b in zip([-1, *at], [*at, len(ids)], strict=True)]
-        return out
+            if len(at) == len(part) - 1:
+                look.update((c, ids[a + 1 : b].tobytes()) for c, a, b in zip(part, [-1, *at], [*at, len(ids)], strict=True))
+        rest = [c for c in rest if c not in look]
+        look.update(zip(rest, self._library(rest), strict=True))
+        return [look[c] for c in chunks]
 
     def _runs(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks; those of one space and a word are encoded many in a call and told apart by their bytes."""
-        plain = [c for c in chunks if len(c) > 1 and c[0] == " " and c[1] not in " \n"]
-        look: dict[str, bytes] = {}
+        """Ids of chunks: a space and letters by the model alone, a space and other characters many in a call."""
+        look = self._of_letters([c for c in chunks if c[0] == " " and c[1:].isalpha() and not _LATIN(c)])
+        plain = [c for c in chunks if c not in look and len(c) > 1 and c[0] == " " and c[1] not in " \n"]
         lists = [plain[i : i + _JOIN] for i in range(0, len(plain), _JOIN)]
-        for part, got in zip(lists, self.tokenizer.encode_batch_fast(["".join(x) for x in lists], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, np.int64)
-            at = np.searchsorted(np.cumsum(self.bytes_in[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
-            packed = ids.astype(self.kind)
-            look.update((c, packed[a:b].tobytes()) for c, a, b in zip(part, [0, *at[:-1].tolist()], at.tolist(), strict=True))
+        look |= self._by_bytes(self.tokenizer, ["".join(x) for x in lists], lists)
         rest = [c for c in chunks if c not in look]
         look.update(zip(rest, self._library(rest), strict=True))
         return [look[c] for c in chunks]
