@@ -16,31 +16,37 @@ from sparkchirp.llm.packing import pack, tokenise
 from sparkchirp.llm.queries import vocabulary
 from sparkchirp.llm.substrings import without_repeats
 from sparkchirp.llm.toxicity import drop_toxic, train
+from sparkchirp.plans.shipping import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled ones, finds at least as likely toxic as not are dropped."""
+    ship(spark)
     model = train(docs, load(spark, sf_dir, "labels"), F.col("toxic"))
     return drop_toxic(docs, model)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the smallest id."""
+    ship(spark)
     return exact_dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest id."""
+    ship(spark)
     return near_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 35 words that occur more than once are taken out of the texts; every document stays."""
+    ship(spark)
     return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 tokens, sources mixed by their share."""
+    ship(spark)
     return pack(tokenise(docs, vocabulary("word_bpe_49k.json"), 1, remember=250_000, block_chars=1 << 21)).withColumnRenamed("id", "doc_id")
 
 
