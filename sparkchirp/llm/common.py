@@ -315,6 +315,24 @@ def tidied(work):
     return wrapped
 
 
+def tidied_group(work):
+    """A function on the Arrow table of a group (or two) that ends with ``tidy``."""
+
+    def one(table):
+        try:
+            return work(table)
+        finally:
+            tidy()
+
+    def two(table, other):
+        try:
+            return work(table, other)
+        finally:
+            tidy()
+
+    return two if work.__code__.co_argcount == 2 else one
+
+
 def safe_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

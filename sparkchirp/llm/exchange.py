@@ -77,8 +77,14 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-def narrow(values: np.ndarray) -> tuple[int, bytes]:
-    """(width, bytes) of unsigned values at the least width that holds them."""
-    top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return width, values.astype(f"<u{width}").tobytes()
+def pack_counts(values: np.ndarray) -> bytes:
+    """A byte for each count, 255 for those that follow in eight bytes."""
+    large = values >= 255
+    return np.where(large, 255, values).astype(np.uint8).tobytes() + values[large].astype("<u8").tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``pack_counts``."""
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n)
+    return out

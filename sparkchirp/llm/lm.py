@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, mix
-from .exchange import Buckets, deal, narrow, ordered, runs
+from .common import U64, Words, mix, tidied_group
+from .exchange import Buckets, deal, ordered, pack_counts, runs, unpack_counts
 
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -123,19 +123,18 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         count = np.bincount(back[:-1], weights=taught, minlength=len(distinct)).astype(np.int64)
         count[back[-1]] = learn.sum()
         g = table.column("g")[0].as_py()
-        packed = [narrow(x) for x in by.parts(count)]
         return pa.table(
             [pa.array(by.ids, pa.int32()), pa.array([g] * len(by.ids), pa.int32()), pa.array([x.tobytes() for x in by.parts(distinct)], pa.binary())]
-            + [pa.array([w for w, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())],
-            names=["bucket", "g", "keys", "width", "counts"],
+            + [pa.array([pack_counts(x) for x in by.parts(count)], pa.binary())],
+            names=["bucket", "g", "keys", "counts"],
         )
 
-    sent = rows.groupBy("g").applyInArrow(send, "bucket int, g int, keys binary, width int, counts binary").repartition(parts, "bucket")
+    sent = rows.groupBy("g").applyInArrow(tidied_group(send), "bucket int, g int, keys binary, counts binary").repartition(parts, "bucket")
 
     def added(table: pa.Table):
         keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, f"<u{w}").astype(np.int64) for x, w in zip(table.column("counts").to_pylist(), table.column("width").to_pylist(), strict=True)]
         size = np.array([len(x) for x in keys])
+        counts = [unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), size.tolist(), strict=True)]
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         at = np.argsort(keys, kind="stable")
         first = runs(keys[at])
@@ -146,17 +145,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         one = (keys & U64(3)) == 1
         return pa.table([pa.array([int(sums[one].sum())]), pa.array([int((sums[one] > 0).sum())])], names=["tokens", "types"])
 
-    whole = sent.groupBy("bucket").applyInArrow(sum_up, "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))
+    whole = sent.groupBy("bucket").applyInArrow(tidied_group(sum_up), "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))
 
     def answer(table: pa.Table) -> pa.Table:
         size, keys, at, first, sums = added(table)
         total = np.empty(len(at), np.int64)
         total[at] = np.repeat(sums, np.diff(np.concatenate([first, [len(at)]])))
         ends = np.cumsum(size)
-        packed = [narrow(total[b - n : b]) for n, b in zip(size, ends, strict=True)]
-        return pa.table([table.column("g"), table.column("bucket"), pa.array([w for w, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names=["g", "bucket", "width", "totals"])
+        packed = [pack_counts(total[b - n : b]) for n, b in zip(size, ends, strict=True)]
+        return pa.table([table.column("g"), table.column("bucket"), pa.array(packed, pa.binary())], names=["g", "bucket", "totals"])
 
-    answers = sent.groupBy("bucket").applyInArrow(answer, "g int, bucket int, width int, totals binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidied_group(answer), "g int, bucket int, totals binary")
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(dealt.groups - 1)))  # the two sums reach each group as a row of its own
     answers = answers.unionByName(whole.select(everywhere.alias("g"), F.lit(-1).alias("bucket"), "tokens", "types"), allowMissingColumns=True)
     more = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
@@ -170,11 +169,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         t, distinct, back, by = keyed(table)
         total = np.zeros(len(distinct), np.int64)
         tokens = types = 0
-        for b, w, x, n_tokens, n_types in zip(*(replies.column(c).to_pylist() for c in ("bucket", "width", "totals", "tokens", "types")), strict=True):
+        for b, x, n_tokens, n_types in zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "tokens", "types")), strict=True):
             if b < 0:
                 tokens, types = n_tokens, n_types
             else:
-                total[by.places(b)] = np.frombuffer(x, f"<u{w}")
+                places = by.places(b)
+                total[places] = unpack_counts(x, len(places))
         n = len(t.token)
         counts = [total[back[m * n : (m + 1) * n]] for m in range(order)]
         contexts = [t.context(counts[m], m + 1, int(total[back[-1]])) for m in range(order - 1)]
@@ -193,4 +193,4 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             names=schema.names,
         )
 
-    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
+    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tidied_group(run), schema)

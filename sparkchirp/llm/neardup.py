@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, row_slices, text_size, tidied
+from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, row_slices, text_size, tidied, tidied_group
 from .components import components
 
 BLOCK_BYTES = 3 << 20  # text that is signed at a time
@@ -218,7 +218,7 @@ def _links(rows: DataFrame, parts: int, width: int, least: float) -> DataFrame:
             c += [int(cluster[i])] * int(far.sum())
         return pa.table([pa.array(x, pa.int64()) for x in (a, b, c)], names=["a", "b", "cluster"])
 
-    return bins.repartition(parts, "bin").groupBy("bin").applyInArrow(work, "a long, b long, cluster long")
+    return bins.repartition(parts, "bin").groupBy("bin").applyInArrow(tidied_group(work), "a long, b long, cluster long")
 
 
 def near_duplicates(

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import U64, Words, gram_starts, grams
+from .common import U64, Words, gram_starts, grams, tidied_group
 from .exchange import Buckets, deal, ordered, runs
 
 GROUP_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
@@ -127,7 +127,7 @@ def remove_repeats(
             names=["bucket", "g", "keys", "again"],
         )
 
-    sent = rows.groupBy("g").applyInArrow(send, "bucket int, g int, keys binary, again binary").repartition(parts, "bucket")
+    sent = rows.groupBy("g").applyInArrow(tidied_group(send), "bucket int, g int, keys binary, again binary").repartition(parts, "bucket")
 
     def answer(table: pa.Table) -> pa.Table:
         g = np.asarray(table.column("g"))
@@ -153,7 +153,7 @@ def remove_repeats(
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["g", "bucket", "repeated", "owner"])
 
-    answers = sent.groupBy("bucket").applyInArrow(answer, "g int, bucket int, repeated binary, owner binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidied_group(answer), "g int, bucket int, repeated binary, owner binary")
 
     def gather(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["shard", "g", "words", "doc", "start"]
@@ -182,7 +182,7 @@ def remove_repeats(
         cols = [[k[0] for k in found], [g] * len(found), [k[1] for k in found], [p[0] for p in found.values()], [p[1] for p in found.values()]]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    gathered = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(gather, "shard int, g int, words binary, doc array<int>, start array<int>")
+    gathered = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tidied_group(gather), "shard int, g int, words binary, doc array<int>, start array<int>")
 
     def judge(table: pa.Table) -> pa.Table:
         g, text, doc, start = (table.column(c).to_pylist() for c in ("g", "words", "doc", "start"))
@@ -208,7 +208,7 @@ def remove_repeats(
         lists = pa.list_(pa.int32())
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(c, lists) for c in out[1:])], names=["g", "doc", "begin", "end"])
 
-    judged = gathered.repartition(parts, "shard").groupBy("shard").applyInArrow(judge, "g int, doc array<int>, begin array<int>, end array<int>")
+    judged = gathered.repartition(parts, "shard").groupBy("shard").applyInArrow(tidied_group(judge), "g int, doc array<int>, begin array<int>, end array<int>")
 
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -241,7 +241,7 @@ def remove_repeats(
         row = table.column("row").combine_chunks()
         return pa.table([row, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return rows.groupBy("g").cogroup(judged.groupBy("g")).applyInArrow(finish, schema)
+    return rows.groupBy("g").cogroup(judged.groupBy("g")).applyInArrow(tidied_group(finish), schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, chars_col: str = "n_chars") -> DataFrame:

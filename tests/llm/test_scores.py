@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkchirp.llm import lm, toxicity
+from sparkchirp.llm.exchange import pack_counts, unpack_counts
 from sparkchirp.llm.threshold import quantised, top_k
 
 
@@ -64,6 +65,12 @@ def test_scores_equal_brute_force(spark, monkeypatch, order):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_counts_of_any_size_come_back():
+    values = np.array([0, 1, 254, 255, 256, 2**40, 3])
+    assert np.array_equal(unpack_counts(pack_counts(values), 7), values)
+    assert len(unpack_counts(pack_counts(values[:0]), 0)) == 0
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     counts = {(u, w): int(rng.integers(0, 4)) for u in range(3) for w in range(5)}
