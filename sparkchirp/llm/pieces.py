@@ -150,7 +150,7 @@ class PieceModel:
                 longest[at] = k
         if whole is not None and longest[0] == whole:
             return [whole]
-        open_at = (1 << (n + 1)) - 1  # bit p: position p has not failed
+        failed = bytearray((n >> 3) + 1)  # bit p: position p has failed
         out: list[int] = []
         at, token = 0, longest[0]
         shorter, compatible = self.shorter, self.compatible
@@ -158,7 +158,7 @@ class PieceModel:
             before = out[-1] if out else _NONE
             while token != _NONE:
                 end = at + length[token]
-                if open_at >> end & 1 and (before == _NONE or compatible(before, token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (before == _NONE or compatible(before, token)):
                     break
                 token = shorter[token]
             if token != _NONE:
@@ -170,7 +170,7 @@ class PieceModel:
             else:
                 if not out:
                     raise ValueError("no segmentation")
-                open_at &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= length[token]
 

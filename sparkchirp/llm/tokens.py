@@ -2,8 +2,8 @@
 
 For the two kinds of vocabulary used here a text may be cut between a word and the white space after it
 without changing its ids, so the library encodes each distinct chunk once and a bounded memory holds the
-ids.  Texts with white space other than space and newline, or with the string of a special token, go to the
-library whole.
+ids.  Texts with white space other than space and newline, or with the string of an added token (which the
+library looks for first), go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -34,6 +35,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def ends_in_letter(word: str) -> bool:
+    """Is the last character a letter, also once composed and in lower case (some become a letter and a mark)?"""
+    c = word[-1:]
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower()[-1].isalpha())
+
+
 class Encoder:
     """Packed little-endian ids (``width`` bytes each) of whole texts."""
 
@@ -42,7 +49,6 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.width = width or (2 if size <= 1 << 16 else 4)
@@ -112,10 +118,12 @@ class Encoder:
         return [look[c] for c in chunks]
 
     def _word_parts(self, word: str) -> tuple[str, ...]:
-        """Case folded where that is safe, and a full stop or comma after a letter apart."""
+        """Case folded where that is safe (the string of an added token may not come of it), and a full stop or comma after a letter apart."""
         if self.folds_case and not word.islower() and not _LATIN(word):
-            word = word.lower()
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            small = word.lower()
+            if not any(s in small for s in self.special):
+                word = small
+        if len(word) > 1 and word[-1] in ".," and ends_in_letter(word[:-1]):
             return word[:-1], word[-1]
         return (word,)
 

@@ -1,17 +1,20 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 P = pytest.importorskip("public_tokenizers")
 from sparkchirp.llm import packing, pieces, records, tokens  # noqa: E402
 
 MODEL, BYTES, WORDS = (P.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
+FRESH = {path: Tokenizer.from_file(path) for path in (BYTES, WORDS)}  # the library as it is
 ODD = st.text(alphabet=st.sampled_from(list(" \n\t▁aeiouéßthnABΣİ123.,'<>|s/世𝕏\x00\xa0 ́")), max_size=60)
 TEXTS = ["", None, "Hello,  world.\n\nIt's  the <|endoftext|> end </s> ▁x", "a" * 3000, " ", "\n", "é 𝕏 世界 \x00", "the of and " * 2000, "the", "the"]
 
@@ -49,15 +52,37 @@ def test_segments_equal_merging_the_best_pair():
 def test_token_ids_equal_the_library(text):
     for path in (BYTES, WORDS):
         enc = tokens.encoder(path)
-        want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+        want = FRESH[path].encode(text, add_special_tokens=False).ids
         assert np.frombuffer(enc.packed([text])[0], enc.kind).tolist() == want
 
 
+LETTERS = list(" \n\taeiouéßthnABΣİıſŉǰ123.,'<>|s/世𝕏\x00\xa0 ̣́̇“”’‘«»—-_ªºǅ가ㄱ가ΐΆЖйיִﬀ½²٣ไทยﷺ\u200b\u200d\ufeffक़ড়")
+BITS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "</s>", "I've", "'LL", "VEDALİ,", "“İ.", "  ", "\n\n", "the", "Über", "ÇAĞRI.", "世界。", "a.b", "e.g.,"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_ids_of_odd_texts_equal_the_library(path):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(BITS) if rng.random() < 0.15 else rng.choice(LETTERS) for _ in range(rng.choice([1, 2, 3, 5, 8, 20]))) for _ in range(50_000)]
+    texts += [f"{a}{chr(c)}{b}" for c in (*range(1, 0xD800), *range(0xE000, 0x11000)) for a, b in (("“", "."), ("a", ","))]
+    enc = tokens.Encoder(path)
+    want = [x.ids for x in FRESH[path].encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.packed(texts)]
+    assert [t for t, w, g in zip(texts, want, got, strict=True) if w != g] == []
+
+
+def test_long_unbroken_text_is_linear():
+    m, begin = pieces.model(MODEL), time.process_time()
+    text = "".join(random.Random(2).choice("aeinrstl") for _ in range(400_000))
+    ids = m.encode(text)
+    assert time.process_time() - begin < 20 and m.decode(ids) == text
+
+
 def test_memory_bound_does_not_change_ids():
     enc = tokens.Encoder(WORDS)
     enc.memo.most = 5
     texts = [f"word{i} Again, and again{i % 3}." for i in range(50)]
-    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in FRESH[WORDS].encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, enc.kind).tolist() for t in texts for x in enc.packed([t])] == want
     assert len(enc.memo.known) < 60
 
@@ -79,7 +104,7 @@ def test_records(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, path string").repartition(3)
     manifest = records.write_tokens(docs, BYTES, 2, str(tmp_path / "t"))
     got = sorted(records.read_tokens(manifest).collect(), key=lambda r: r.start)
-    tk, at = tokens.encoder(BYTES).tokenizer, 0
+    tk, at = FRESH[BYTES], 0
     for r, (i, t, _) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 2]
         assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -137,7 +162,7 @@ def test_packing(spark):
     rows[7] = (7, "a b c", None, 7)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start int")
     table = packing.tokenise(docs, WORDS, 1)
-    tk = tokens.encoder(WORDS).tokenizer
+    tk = FRESH[WORDS]
     ids = {i: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, _, _ in rows}
     got = packing.pack(table, 128, 4).collect()
     check_packing(got, ids, 128)
