@@ -55,9 +55,12 @@ def pieces(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+MOST_PARTS = 1 << 15  # tasks of a stage; beyond, a task goes through more groups or sorts more rows, both with bounded memory
+
+
 def fan_out(spark: SparkSession, total_bytes: int, each: int = 16 << 20) -> int:
     """Partitions for a shuffle of so many bytes; never fewer than the session asks for."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(total_bytes, each))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, pieces(total_bytes, each)))
 
 
 # --------------------------------------------------------------------------- word arrays

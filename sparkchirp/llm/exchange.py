@@ -1,8 +1,14 @@
 """Counting keys of all documents without a row for each key.
 
 Documents are dealt by a hash into groups of bounded text size.  A group sends each bucket of the key space one
-sorted array of its distinct keys (so a key that a third of all documents hold is sent once a group), the
-bucket adds up what the groups sent and answers each of them with arrays in the order of its keys.
+sorted array of its distinct keys with their counts (so a key that a third of all documents hold is sent once a
+group), the bucket adds up what the groups sent and answers each of them in the order of its keys.
+
+Inside a bucket a key is known by its whole 64 bits or by its lowest 40.  A bucket stands for a fixed amount of text,
+so that two of its keys share 40 bits at the same rate (about 2 in a million) whatever the size of the input.
+Groups and buckets are dealt to tasks by number, so that no task gets many of them by chance; a task goes through
+its groups or buckets one after the other.  A message holds at least one key, so there are never more of them than
+distinct keys in groups.
 """
 
 from __future__ import annotations
@@ -14,33 +20,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fan_out, pieces, text_size
+from .common import MOST_PARTS, U64, pieces
+
+LOW = 40
+_MASK = U64((1 << LOW) - 1)
+_HIGH = 1 << (LOW - 32)
+MESSAGE = "bucket int, g int, usual int, keys array<binary>, counts array<binary>"
+ANSWER = "g int, bucket int, totals array<binary>"
 
 
 @dataclass
 class Dealt:
-    """``rows`` (g, h, text, row and what else was asked for), partitioned by group; numbers of groups and buckets."""
+    """``rows`` (g, h, text, row and what else was asked for), partitioned by group; numbers of groups and buckets; bytes."""
 
     rows: DataFrame
     groups: int
     buckets: int
-    parts: int
+    size: int
+
+    def by_bucket(self, messages: DataFrame, column: str = "bucket") -> DataFrame:
+        return messages.repartitionById(min(self.buckets, MOST_PARTS), column)
 
+    def by_group(self, answers: DataFrame):
+        """Answers beside the rows, dealt alike: ready for a cogrouped function."""
+        return self.rows.groupBy("g").cogroup(answers.repartitionById(min(self.groups, MOST_PARTS), "g").groupBy("g"))
 
-def deal(docs: DataFrame, id_col: str, text_col: str, row: Column, group_bytes: int, bucket_bytes: int, **more: Column) -> Dealt:
-    """Deal documents into groups by a hash of id and text; ``h`` orders the rows of a group the same way each time."""
-    spark = docs.sparkSession
+
+def deal(docs: DataFrame, id_col: str, text_col: str, row: Column, group_bytes: int, bucket_bytes: int, apart: Column | None = None, **more: Column) -> Dealt:
+    """Deal documents into groups by a hash of id and text; ``h`` orders the rows of a group the same way each time.
+    Rows that ``apart`` holds for lie in groups of their own."""
     rows = docs.select(
         F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("h"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         row.alias("row"),
+        (F.lit(False) if apart is None else F.coalesce(apart, F.lit(False))).alias("apart"),
         *[c.alias(n) for n, c in more.items()],
     )
-    count, size = text_size(rows)
-    groups, buckets = pieces(size + 64 * count, group_bytes), pieces(size + 64 * count, bucket_bytes)
-    parts = fan_out(spark, size)
-    rows = rows.select(F.pmod("h", F.lit(groups)).cast("int").alias("g"), *rows.columns).repartition(parts, "g")
-    return Dealt(rows, groups, buckets, parts)
+    cost = F.octet_length("text").cast("long") + 64
+    size, other = rows.agg(F.coalesce(F.sum(cost), F.lit(0)), F.coalesce(F.sum(F.when(F.col("apart"), cost)), F.lit(0))).first()
+    first, second = pieces(size - other, group_bytes), pieces(other, group_bytes)
+    group = F.when(F.col("apart"), first + F.pmod("h", F.lit(second))).otherwise(F.pmod("h", F.lit(first))).cast("int")
+    groups = first + (second if other else 0)
+    rows = rows.select(group.alias("g"), *[c for c in rows.columns if c != "apart"]).repartitionById(min(groups, MOST_PARTS), "g")
+    return Dealt(rows, groups, pieces(size, bucket_bytes), size)
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -48,28 +70,6 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.argsort(np.asarray(table.column("h")), kind="stable")))
 
 
-class Buckets:
-    """``keys[order]`` lies by bucket and then key; ``ids[i]`` is a bucket that has keys, at bounds[i]:bounds[i + 1]."""
-
-    def __init__(self, keys: np.ndarray, buckets: int, low: bool = False):
-        bucket = (keys >> U64(32)) % U64(buckets)
-        self.order = np.lexsort((keys & U64(0xFFFFFFFF) if low else keys, bucket))
-        bucket = bucket[self.order]
-        first = runs(bucket)
-        self.ids = bucket[first].astype(np.int64)
-        self.bounds = np.concatenate([first, [len(bucket)]])
-
-    def parts(self, values: np.ndarray) -> list[np.ndarray]:
-        """Values in the order of the keys, one array a bucket."""
-        values = values[self.order]
-        return [values[a:b] for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)]
-
-    def places(self, bucket: int) -> np.ndarray:
-        """Which keys lie in a bucket, in the order they were sent."""
-        i = int(np.searchsorted(self.ids, bucket))
-        return self.order[self.bounds[i] : self.bounds[i + 1]]
-
-
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Start of every run of equal keys."""
     if not len(sorted_keys):
@@ -77,14 +77,118 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-def pack_counts(values: np.ndarray) -> bytes:
-    """A byte for each count, 255 for those that follow in eight bytes."""
+# --------------------------------------------------------------------------- packing
+def pack_keys(keys: np.ndarray, whole: bool) -> bytes:
+    """Sorted keys: eight bytes each, or the lowest 40 bits as 32 bits and, for the 8 above, a bitmap with a one for each
+    key after as many zeros as these 8 bits say."""
+    if whole:
+        return keys.astype("<u8").tobytes()
+    bits = np.zeros(len(keys) + _HIGH, np.uint8)
+    bits[(keys >> U64(32)).astype(np.int64) + np.arange(len(keys))] = 1
+    return (keys & U64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(bits).tobytes()
+
+
+def unpack_keys(data: bytes, whole: bool) -> np.ndarray:
+    if whole:
+        return np.frombuffer(data, "<u8")
+    n = (8 * len(data) - _HIGH) // 33  # 32 bits and one bit a key, whole bytes
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=4 * n), count=n + _HIGH)
+    high = np.flatnonzero(bits)
+    return np.frombuffer(data, "<u4", n).astype(U64) | ((high - np.arange(n)).astype(U64) << U64(32))
+
+
+def pack_counts(values: np.ndarray, usual) -> bytes:
+    """A bit for each count that is not the ``usual`` one; these in a byte each, 255 for those that follow in eight bytes."""
+    other = values != usual
+    if not other.any():
+        return b""
+    values = values[other]
     large = values >= 255
-    return np.where(large, 255, values).astype(np.uint8).tobytes() + values[large].astype("<u8").tobytes()
+    return np.packbits(other).tobytes() + np.where(large, 255, values).astype(np.uint8).tobytes() + values[large].astype("<u8").tobytes()
 
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
+def unpack_counts(data: bytes, n: int, usual) -> np.ndarray:
     """The ``n`` counts of ``pack_counts``."""
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<u8", offset=n)
+    out = np.full(n, usual, np.int64)
+    if data:
+        other = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8), count=n))
+        at = (n + 7) // 8
+        values = np.frombuffer(data, np.uint8, len(other), at).astype(np.int64)
+        values[values == 255] = np.frombuffer(data, "<u8", offset=at + len(other))
+        out[other] = values
     return out
+
+
+class Counted:
+    """Distinct keys of a group and their counts there, by bucket and then key."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, buckets: int, whole: bool = False):
+        bucket = (keys >> U64(LOW)) % U64(buckets)
+        if whole:
+            self.order = np.lexsort((keys, bucket))
+            self.keys = keys[self.order]
+        else:
+            code = bucket << U64(LOW) | keys & _MASK
+            self.order = np.argsort(code)
+            self.keys = code[self.order] & _MASK
+        self.whole, self.counts = whole, counts[self.order]
+        bucket = bucket[self.order]
+        first = runs(bucket)
+        ends = np.append(first[1:], len(bucket))[: len(first)]
+        self.bounds = dict(zip(bucket[first].tolist(), zip(first.tolist(), ends.tolist(), strict=True), strict=True))
+
+    def part(self, bucket: int) -> slice:
+        return slice(*self.bounds.get(bucket, (0, 0)))
+
+
+def messages(sets: list[Counted], g: int, usual: int) -> pa.Table:
+    """What a group sends: a row for each bucket that any of its sets has keys in; most counts are ``usual``."""
+    ids = sorted(set().union(*(s.bounds for s in sets)))
+    keys = [[pack_keys(s.keys[s.part(b)], s.whole) for s in sets] for b in ids]
+    counts = [[pack_counts(s.counts[s.part(b)], usual) for s in sets] for b in ids]
+    lists = pa.list_(pa.binary())
+    return pa.table([pa.array(ids, pa.int32()), pa.array([g] * len(ids), pa.int32()), pa.array([usual] * len(ids), pa.int32()), pa.array(keys, lists), pa.array(counts, lists)], names=["bucket", "g", "usual", "keys", "counts"])
+
+
+class Summed:
+    """What a bucket was sent, added up: distinct ``keys`` and ``sums`` of every set, and the answer to each message."""
+
+    def __init__(self, table: pa.Table, whole: list[bool]):
+        self.keys, self.sums, self.replies = [], [], [[] for _ in range(table.num_rows)]
+        keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+        usual = table.column("usual").to_pylist()
+        for m, w in enumerate(whole):
+            sent = [unpack_keys(x[m], w) for x in keys]
+            size = [len(x) for x in sent]
+            flat = np.concatenate(sent)
+            own = np.concatenate([unpack_counts(x[m], n, u) for x, n, u in zip(counts, size, usual, strict=True)])
+            at = np.argsort(flat, kind="stable")
+            flat = flat[at]
+            first = runs(flat)
+            sums = np.add.reduceat(own[at], first) if len(first) else np.zeros(0, np.int64)
+            total = np.empty(len(at), np.int64)
+            total[at] = np.repeat(sums, np.diff(np.append(first, len(at)))[: len(first)])
+            self.keys.append(flat[first])
+            self.sums.append(sums)
+            end = 0
+            for reply, n in zip(self.replies, size, strict=True):
+                reply.append(pack_counts(total[end : end + n], own[end : end + n]))
+                end += n
+
+    def answers(self, table: pa.Table) -> pa.Table:
+        return pa.table([table.column("g"), table.column("bucket"), pa.array(self.replies, pa.list_(pa.binary()))], names=["g", "bucket", "totals"])
+
+
+def totals(sets: list[Counted], answers) -> list[np.ndarray]:
+    """Counts over all groups in the order in which the sets' keys were given; ``answers`` gives (bucket, totals)."""
+    out = [s.counts.copy() for s in sets]
+    for bucket, replies in answers:
+        for s, o, x in zip(sets, out, replies, strict=True):
+            part = s.part(bucket)
+            o[part] = unpack_counts(x, part.stop - part.start, o[part])
+    back = []
+    for s, o in zip(sets, out, strict=True):
+        given = np.empty_like(o)
+        given[s.order] = o
+        back.append(given)
+    return back

@@ -1,27 +1,34 @@
 """Language-model scores from a weighted backoff automaton over all training text.
 
-States are the contexts seen in training, arcs the n-grams with their log10 weights, and a state without an
-arc for the next token fails over to its shorter context at the cost of its failure arc.  The weights are
-those of an n-gram model smoothed by interpolation: with c the training counts,
-
-    P(w | h) = keep * c(h w) / c(h) + (1 - keep) * P(w | shorter h)    where c(h) > 0,
-    P(w | h) = P(w | shorter h)                                        elsewhere,
-    P(w) = (c(w) + 1) / (N + V + 1),
-
-so an arc weighs log10 P(w | h), and the failure arc of a state log10(1 - keep).  After each token the state
-is the longest known context that ends there.
-
-The automaton grows with the corpus, so no process holds all of it: documents are dealt into groups, each
-group asks the buckets of the key space for the counts of its own n-grams, builds the part of the automaton
-that its documents can reach and runs them through it from left to right, array-wise for all tokens.
-
-Defined cases: null or empty text is the end token alone; null ids count as the text '' for the split; rows
-that repeat are learned and scored each; an empty table gives an empty result; with no training rows N and V
-are 0.
+States are the contexts seen in training: the empty one, the begin of a text, and the last one or two (``order`` - 1)
+tokens.  A state has an arc for each token that followed it in training, which leads to the longest context that
+ends with that token, and a failure arc to its shorter context for all other tokens.  With c the training counts,
+arcs and failure arcs weigh the log10 of
+
+    P(w | h) = (c(h w) + K * P(w | shorter h)) / (c(h) + K)    and    K / (c(h) + K),
+
+a hierarchical Dirichlet model; the empty context has P(w) = (c(w) + 1) / (N + V + 1), also for one word never
+seen.  In every state the weights of all V words and the unseen one add up to 1.  K is estimated for each order
+from the numbers n1, n2 of n-grams seen once and twice, so that a context seen once keeps about the share that an
+absolute discount of n1 / (n1 + 2 n2) leaves: K = (n1 + 1) / (2 n2 + 1).  A text is read from left to right once;
+the state is carried from token to token, and the weights passed are its score.
+
+The automaton grows with the corpus, so no process holds all of it: documents are dealt into groups, each group
+asks the buckets of the key space for the counts of its own n-grams over all training text, builds the states and
+arcs that its documents can reach and runs them through.  Words are counted by 64-bit keys (N, V, n_known and the
+base score are exact while no two words share one), longer n-grams by 40 bits and their bucket: about 2 in a
+million share a count with another, at any size of the input.
+
+Defined cases: null or empty text is the end token alone; a null ``train`` counts as false; rows that repeat are
+learned and scored each; texts of any length are read whole; an empty table gives an empty result; with no training
+rows N and V are 0 and the automaton has the empty context alone; carried columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,77 +36,137 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, Words, mix, tidied_group
-from .exchange import Buckets, deal, ordered, pack_counts, runs, unpack_counts
+from .exchange import ANSWER, MESSAGE, Counted, Summed, deal, messages, ordered, totals
 
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _ROUND = U64(0x9E3779B97F4A7C15)
 
 
-class Tokens:
-    """Tokens of a group: the word hashes of every document and an end token, with n-gram keys of every order.
+class Grams:
+    """The n-grams of some texts: words and an end token each, a begin mark before the first.
 
-    Key of order m at token i: the hash of the m tokens that end there (begin marks before a document's first
-    token), its two lowest bits holding m; key 0 stands for the begin context alone.
+    ``keys[m]`` are the distinct keys of order m + 1 and ``at[m]`` numbers, for every token, the n-gram that ends
+    there (-1 where it would reach over the begin mark).  The begin mark has a key of order 1, the last one.
     """
 
     def __init__(self, column, order: int):
         w = Words(column)
-        h = w.hashes(lower=True)
         n = np.diff(w.first) + 1
         self.first = np.concatenate([[0], np.cumsum(n)])
-        self.token = np.full(int(self.first[-1]), END, U64)
-        inside = np.ones(len(self.token), np.bool_)
+        token = np.full(int(self.first[-1]), END, U64)
+        inside = np.ones(len(token), np.bool_)
         inside[self.first[1:] - 1] = False
-        self.token[inside] = h
-        self.place = np.arange(len(self.token)) - np.repeat(self.first[:-1], n)
-        self.keys = []
-        run = self.token
-        for m in range(1, order + 1):
-            if m > 1:
-                back = np.full(len(self.token), BEGIN, U64)
-                far = self.place >= m - 1
-                back[far] = self.token[np.flatnonzero(far) - (m - 1)]
+        token[inside] = w.hashes(lower=True)
+        self.place = np.arange(len(token)) - np.repeat(self.first[:-1], n)
+        self.keys, self.at, self.seen = [], [], []
+        run = token
+        for m in range(order):
+            if m:
+                back = np.full(len(token), BEGIN, U64)
+                far = np.flatnonzero(self.place >= m)
+                back[far] = token[far - m]
                 run = mix(run + _ROUND * back)
-            self.keys.append((run & ~U64(3)) | U64(m))
-
-    def context(self, values: np.ndarray, m: int, at_begin: int) -> np.ndarray:
-        """For every token, the count of the context of order m before it: ``values`` are the counts of the m-grams that end at
-        each token, ``at_begin`` the number of training documents."""
-        out = np.full(len(values), at_begin, values.dtype)
-        later = self.place >= 1
-        out[later] = values[np.flatnonzero(later) - 1]
+            here = np.flatnonzero(self.place >= m - 1)
+            keys, seen, number = np.unique(run[here], return_index=True, return_inverse=True)
+            at = np.full(len(token), -1)
+            at[here] = number
+            self.keys.append(keys)
+            self.at.append(at)
+            self.seen.append(here[seen])  # where each n-gram ends first
+        self.keys[0] = np.append(self.keys[0], BEGIN)
+        self.end = int(np.searchsorted(self.keys[0][:-1], END)) if len(token) else -1
+
+    def counts(self) -> list[np.ndarray]:
+        """How often each n-gram occurs; the begin mark once a text."""
+        out = [np.bincount(a[a >= 0], minlength=len(k)) for a, k in zip(self.at, self.keys, strict=True)]
+        out[0][-1] = len(self.first) - 1
         return out
 
 
+def concentration(once: int, twice: int) -> float:
+    """K of an order by its numbers of n-grams seen once and twice."""
+    return (once + 1) / (2 * twice + 1)
+
+
 class BackoffAutomaton:
-    """The states and arcs that a group's tokens reach: for every token and order the count of the n-gram and of its context."""
-
-    def __init__(self, counts: list[np.ndarray], contexts: list[np.ndarray], total: int, types: int, keep: float):
-        self.base = np.log10((counts[0] + 1.0) / (total + types + 1.0))
-        self.weight = [self.base]
-        self.fail = []
-        p = (counts[0] + 1.0) / (total + types + 1.0)
-        for c, h in zip(counts[1:], contexts, strict=True):
-            known = h > 0
-            arc = c > 0
-            p = np.where(known, keep * c / np.maximum(h, 1) + (1 - keep) * p, p)
-            self.weight.append(np.where(arc, np.log10(p), np.nan))  # nan: no such arc
-            self.fail.append(np.where(known, np.log10(1 - keep), 0.0))
-
-    def traverse(self) -> np.ndarray:
-        """log10 weight of the path at every token: from the longest context down the failure arcs to the first arc."""
-        out, cost = np.full(len(self.base), np.nan), np.zeros(len(self.base))
-        for m in range(len(self.weight) - 1, 0, -1):
-            here = np.isnan(out) & ~np.isnan(self.weight[m])
-            out[here] = cost[here] + self.weight[m][here]
-            cost += np.where(np.isnan(out), self.fail[m - 1], 0.0)
-        rest = np.isnan(out)
-        out[rest] = cost[rest] + self.base[rest]
-        return out
+    """Numbered states and arcs for all that the texts of ``grams`` can reach.
 
+    State 0 is the empty context.  ``arcs`` maps state * tokens + token to the number of an arc, ``weight`` and
+    ``target`` are those of arcs, ``fail_weight`` and ``fail`` those of the states' failure arcs; a token without an
+    arc in state 0 costs ``unseen`` and stays there.  ``start`` is the state of the begin mark.
+    """
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, keep: float = 0.7, carry: list[str] | None = None) -> DataFrame:
+    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, types: int, strength: list[float]):
+        self.tokens = len(grams.keys[0])
+        self.unseen = -math.log10(tokens + types + 1)
+        base = (counts[0] + 1.0) / (tokens + types + 1.0)
+        self.base = np.log10(base)
+        fail, fail_weight, size = [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        begin = self.tokens - 1
+        # the state of every n-gram that is a context: seen in training, not the end of a text, shorter than the order
+        state = []
+        for m, c in enumerate(counts[:-1]):
+            last = grams.at[0][grams.seen[m]] if m else np.arange(self.tokens)
+            context = (c > 0) & (last != grams.end)
+            number = np.full(len(c), -1)
+            number[context] = size + np.arange(int(context.sum()))
+            state.append(number)
+            size += int(context.sum())
+            shorter = np.zeros(len(c), np.int64) if m == 0 else state[m - 1][grams.at[m - 1][grams.seen[m]]]
+            fail.append(shorter[context])
+            fail_weight.append(np.log10(strength[m] / (c[context] + strength[m])))
+        source, token, weight, target = [], [], [], []
+        p = [base]
+        for m, c in enumerate(counts):
+            ends = grams.seen[m] if m else None
+            last = grams.at[0][ends] if m else np.arange(self.tokens)
+            if m == 0:
+                origin = np.zeros(len(c), np.int64)
+                arc = (c > 0) & (np.arange(len(c)) != begin)
+            else:
+                # the context before the last token: an n-gram one place earlier, or the begin mark
+                first = grams.place[ends] == 0
+                held = np.where(first, begin, grams.at[m - 1][ends - 1])
+                origin = state[m - 1][held]
+                k = strength[m - 1]
+                known = counts[m - 1][held]
+                lower = p[m - 1][grams.at[m - 1][ends]]
+                p.append(np.where(known > 0, (c + k * lower) / (known + k), lower))
+                arc = (c > 0) & (origin >= 0)
+            if m < len(state):
+                to = np.maximum(state[m], 0)
+            else:
+                to = np.maximum(state[m - 1][grams.at[m - 1][ends]], 0) if m else np.zeros(len(c), np.int64)
+            source.append(origin[arc])
+            token.append(last[arc])
+            weight.append(np.log10(p[m][arc]))
+            target.append(to[arc])
+        code = np.concatenate(source) * self.tokens + np.concatenate(token)
+        self.arcs = dict(zip(code.tolist(), range(len(code)), strict=True))
+        self.weight, self.target = array("d", np.concatenate(weight).tobytes()), array("q", np.concatenate(target).tobytes())
+        self.fail, self.fail_weight = array("q", np.concatenate(fail).tobytes()), array("d", np.concatenate(fail_weight).tobytes())
+        self.start = max(0, int(state[0][begin])) if state else 0
+
+    def score(self, text: list[int]) -> float:
+        """log10 of the probability of one text (its token numbers, the end last): one pass that carries the state."""
+        arcs, weight, target, fail, fail_weight, tokens = self.arcs.get, self.weight, self.target, self.fail, self.fail_weight, self.tokens
+        total, state = 0.0, self.start
+        for x in text:
+            arc = arcs(state * tokens + x)
+            while arc is None and state:
+                total += fail_weight[state]
+                state = fail[state]
+                arc = arcs(state * tokens + x)
+            if arc is None:
+                total += self.unseen
+            else:
+                total += weight[arc]
+                state = target[arc]
+        return total
+
+
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, carry: list[str] | None = None) -> DataFrame:
     """(row, train, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     ``train`` says of each row whether the model learns from it; ``row`` is the struct of the carried columns.
@@ -107,57 +174,39 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     if not 1 <= order <= 3:
         raise ValueError("order: 1 to 3")
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    dealt = deal(docs, id_col, text_col, row, GROUP_BYTES, BUCKET_BYTES, train=train)
-    rows, buckets, parts = dealt.rows, dealt.buckets, dealt.parts
+    train = F.coalesce(train, F.lit(False))
+    dealt = deal(docs, id_col, text_col, row, GROUP_BYTES, BUCKET_BYTES, apart=~train, train=train)
+    rows, buckets = dealt.rows, dealt.buckets
+    whole = [m == 0 for m in range(order)]
 
-    def keyed(table: pa.Table):
-        t = Tokens(table.column("text"), order)
-        distinct, back = np.unique(np.concatenate([*t.keys, np.zeros(1, U64)]), return_inverse=True)
-        return t, distinct, back, Buckets(distinct, buckets)
+    def asked(table: pa.Table) -> tuple[Grams, list[Counted], int]:
+        """The n-grams of a group, what it sends of them, and 1 where the model learns from it, else 0."""
+        grams, learn = Grams(table.column("text"), order), int(table.column("train")[0].as_py())
+        return grams, [Counted(k, c * learn, buckets, w) for k, c, w in zip(grams.keys, grams.counts(), whole, strict=True)], learn
 
     def send(table: pa.Table) -> pa.Table:
-        table = ordered(table)
-        t, distinct, back, by = keyed(table)
-        learn = np.asarray(table.column("train").combine_chunks().fill_null(False))
-        taught = np.tile(np.repeat(learn, np.diff(t.first)), order).astype(np.float64)
-        count = np.bincount(back[:-1], weights=taught, minlength=len(distinct)).astype(np.int64)
-        count[back[-1]] = learn.sum()
-        g = table.column("g")[0].as_py()
-        return pa.table(
-            [pa.array(by.ids, pa.int32()), pa.array([g] * len(by.ids), pa.int32()), pa.array([x.tobytes() for x in by.parts(distinct)], pa.binary())]
-            + [pa.array([pack_counts(x) for x in by.parts(count)], pa.binary())],
-            names=["bucket", "g", "keys", "counts"],
-        )
-
-    sent = rows.groupBy("g").applyInArrow(tidied_group(send), "bucket int, g int, keys binary, counts binary").repartition(parts, "bucket")
-
-    def added(table: pa.Table):
-        keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
-        size = np.array([len(x) for x in keys])
-        counts = [unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), size.tolist(), strict=True)]
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        at = np.argsort(keys, kind="stable")
-        first = runs(keys[at])
-        return size, keys[at[first]], at, first, np.add.reduceat(counts[at], first)
+        _, sets, learn = asked(ordered(table))
+        return messages(sets, table.column("g")[0].as_py(), learn)
 
-    def sum_up(table: pa.Table) -> pa.Table:
-        _, keys, _, _, sums = added(table)
-        one = (keys & U64(3)) == 1
-        return pa.table([pa.array([int(sums[one].sum())]), pa.array([int((sums[one] > 0).sum())])], names=["tokens", "types"])
+    sent = dealt.by_bucket(rows.groupBy("g").applyInArrow(tidied_group(send), MESSAGE))
+    figures = ["tokens", "types", *[f"{x}{m}" for m in range(2, order + 1) for x in ("once", "twice")]]
 
-    whole = sent.groupBy("bucket").applyInArrow(tidied_group(sum_up), "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))
+    def figure(table: pa.Table) -> pa.Table:
+        got = Summed(table, whole)
+        words = got.sums[0][got.keys[0] != BEGIN]
+        out = [words.sum(), (words > 0).sum()]
+        for sums in got.sums[1:]:
+            out += [(sums == 1).sum(), (sums == 2).sum()]
+        return pa.table([pa.array([int(x)], pa.int64()) for x in out], names=figures)
 
     def answer(table: pa.Table) -> pa.Table:
-        size, keys, at, first, sums = added(table)
-        total = np.empty(len(at), np.int64)
-        total[at] = np.repeat(sums, np.diff(np.concatenate([first, [len(at)]])))
-        ends = np.cumsum(size)
-        packed = [pack_counts(total[b - n : b]) for n, b in zip(size, ends, strict=True)]
-        return pa.table([table.column("g"), table.column("bucket"), pa.array(packed, pa.binary())], names=["g", "bucket", "totals"])
-
-    answers = sent.groupBy("bucket").applyInArrow(tidied_group(answer), "g int, bucket int, totals binary")
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(dealt.groups - 1)))  # the two sums reach each group as a row of its own
-    answers = answers.unionByName(whole.select(everywhere.alias("g"), F.lit(-1).alias("bucket"), "tokens", "types"), allowMissingColumns=True)
+        return Summed(table, whole).answers(table)
+
+    sums = sent.groupBy("bucket").applyInArrow(tidied_group(figure), ", ".join(f"{x} long" for x in figures))
+    sums = sums.agg(F.array(*[F.coalesce(F.sum(x), F.lit(0)) for x in figures]).alias("figures"))
+    answers = sent.groupBy("bucket").applyInArrow(tidied_group(answer), ANSWER)
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(dealt.groups - 1)))  # the corpus figures reach each group as a row of its own
+    answers = answers.unionByName(sums.select(everywhere.alias("g"), F.lit(-1).alias("bucket"), "figures"), allowMissingColumns=True)
     more = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([rows.schema["row"], *[T.StructField(n, t) for n, t in more]])
 
@@ -166,31 +215,25 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             kinds = [table.schema.field("row").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
         table = ordered(table)
-        t, distinct, back, by = keyed(table)
-        total = np.zeros(len(distinct), np.int64)
-        tokens = types = 0
-        for b, x, n_tokens, n_types in zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "tokens", "types")), strict=True):
-            if b < 0:
-                tokens, types = n_tokens, n_types
-            else:
-                places = by.places(b)
-                total[places] = unpack_counts(x, len(places))
-        n = len(t.token)
-        counts = [total[back[m * n : (m + 1) * n]] for m in range(order)]
-        contexts = [t.context(counts[m], m + 1, int(total[back[-1]])) for m in range(order - 1)]
-        automaton = BackoffAutomaton(counts, contexts, tokens, types, keep)
-        begin = t.first[:-1]
+        grams, sets, _ = asked(table)
+        replies = list(zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "figures")), strict=True))
+        tokens, types, *seen = next(f for b, _, f in replies if b < 0)
+        counts = totals(sets, [(b, x) for b, x, _ in replies if b >= 0])
+        del sets, replies
+        automaton = BackoffAutomaton(grams, counts, tokens, types, [concentration(*seen[i : i + 2]) for i in range(0, len(seen), 2)])
+        begin, word = grams.first[:-1], grams.at[0]
+        scores = [automaton.score(word[a:b].tolist()) for a, b in zip(begin.tolist(), grams.first[1:].tolist(), strict=True)]
         return pa.table(
             [
                 table.column("row").combine_chunks(),
                 table.column("train").combine_chunks(),
-                pa.array(np.diff(t.first)),
-                pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), begin)),
+                pa.array(np.diff(grams.first)),
+                pa.array(np.add.reduceat((counts[0] > 0)[word].astype(np.int64), begin)),
                 pa.array(np.full(len(begin), tokens)),
-                pa.array(np.add.reduceat(automaton.base, begin)),
-                pa.array(np.add.reduceat(automaton.traverse(), begin)),
+                pa.array(np.add.reduceat(automaton.base[word], begin)),
+                pa.array(scores, pa.float64()),
             ],
             names=schema.names,
         )
 
-    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tidied_group(run), schema)
+    return dealt.by_group(answers).applyInArrow(tidied_group(run), schema)

@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkchirp.llm import lm, toxicity
-from sparkchirp.llm.exchange import pack_counts, unpack_counts
+from sparkchirp.llm.exchange import pack_counts, pack_keys, unpack_counts, unpack_keys
 from sparkchirp.llm.threshold import quantised, top_k
 
 
@@ -18,31 +19,31 @@ def texts(seed, n=120):
     return [" \n".join(word() for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(n)] + [None, "", "\t", "Zz zz"]
 
 
-def brute(rows, order, keep):
+def brute(rows, order):
+    """(tokens, known, N, base, score) of texts, from counts of tuples; the begin of a text is the token 1, its end 0."""
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    words = [(t, [*(x or "").encode().translate(lower).split(), 0]) for x, t in rows]
+    words = [(t, [1, *(x or "").encode().translate(lower).split(), 0]) for x, t in rows]
     count, begins = Counter(), sum(t for t, _ in words)
-    for t, w in words:
+    for t, v in words:
         if t:
-            v = [1] * (order - 1) + w
-            for i in range(order - 1, len(v)):
-                for m in range(1, order + 1):
+            for i in range(1, len(v)):
+                for m in range(1, min(order, i + 1) + 1):
                     count[tuple(v[i - m + 1 : i + 1])] += 1
     total, types = sum(n for k, n in count.items() if len(k) == 1), sum(len(k) == 1 for k in count)
+    once, twice = (Counter(len(k) for k, n in count.items() if n == x) for x in (1, 2))
     out = []
-    for _, w in words:
-        v = [1] * (order - 1) + w
+    for _, v in words:
         base = score = 0.0
-        for i in range(order - 1, len(v)):
+        for i in range(1, len(v)):
             p = (count[v[i],] + 1) / (total + types + 1)
             base += math.log10(p)
-            for m in range(2, order + 1):
+            for m in range(2, min(order, i + 1) + 1):
                 h = tuple(v[i - m + 1 : i])
-                c = begins if set(h) == {1} else count[h]
-                if c:
-                    p = keep * count[(*h, v[i])] / c + (1 - keep) * p
+                c = begins if h == (1,) else count[h]
+                k = (once[m] + 1) / (2 * twice[m] + 1)
+                p = (count[(*h, v[i])] + k * p) / (c + k)
             score += math.log10(p)
-        out.append((len(w), sum(count[x,] > 0 for x in w), total, base, score))
+        out.append((len(v) - 1, sum(count[x,] > 0 for x in v[1:]), total, base, score))
     return out
 
 
@@ -54,7 +55,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, order):
     docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, score string")
     got = lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, order=order)
     learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
-    want = brute([(t, learn(i)) for i, t, _ in [*rows, rows[3]]], order, 0.7)
+    want = brute([(t, learn(i)) for i, t, _ in [*rows, rows[3]]], order)
     found = {}
     for r in got.collect():
         found.setdefault(r.row.doc_id, []).append(r)
@@ -67,26 +68,47 @@ def test_scores_equal_brute_force(spark, monkeypatch, order):
 
 def test_counts_of_any_size_come_back():
     values = np.array([0, 1, 254, 255, 256, 2**40, 3])
-    assert np.array_equal(unpack_counts(pack_counts(values), 7), values)
-    assert len(unpack_counts(pack_counts(values[:0]), 0)) == 0
+    for usual in (0, 1, values[::-1]):
+        assert np.array_equal(unpack_counts(pack_counts(values, usual), 7, usual), values)
+    assert len(unpack_counts(pack_counts(values[:0], 1), 0, 1)) == 0
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 7, 8, 31, 33, 255, 256, 1000):
+        keys = np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64))
+        assert np.array_equal(unpack_keys(pack_keys(keys, False), False), keys) and np.array_equal(unpack_keys(pack_keys(keys, True), True), keys)
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    counts = {(u, w): int(rng.integers(0, 4)) for u in range(3) for w in range(5)}
-    uni = [sum(counts[u, w] for u in range(3)) for w in range(5)]
-    n, v = sum(uni), sum(x > 0 for x in uni)
-    for u in range(3):
-        h = sum(counts[u, w] for w in range(5))
-        a = lm.BackoffAutomaton([np.array([*uni, 0]), np.array([*(counts[u, w] for w in range(5)), 0])], [np.full(6, h)], n, v, 0.7)
-        known = [k for k in range(6) if k == 5 or uni[k]]
-        assert (10 ** a.traverse()[known]).sum() == pytest.approx(1.0)
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_every_state_is_a_distribution(order):
+    """From each numbered state, arcs and failure arcs give all words and one unseen word probabilities that add up to 1."""
+    corpus = pa.array(["a b a c", "b b a", "c a b a b", "", "d"], pa.string())
+    grams = lm.Grams(corpus, order)
+    counts = grams.counts()
+    words = counts[0][:-1]
+    a = lm.BackoffAutomaton(grams, counts, int(words.sum()), int((words > 0).sum()), [0.7, 2.5][: order - 1])
+    pairs = {("^", "a"), ("a", "b"), ("b", "a"), ("a", "c"), ("^", "b"), ("b", "b"), ("^", "c"), ("c", "a"), ("^", "d")}
+    assert len(a.fail) == [1, 1 + 5, 1 + 5 + len(pairs)][order - 1]  # the empty context, begin and four words, pairs before the end
+    for state in range(len(a.fail)):
+        a.start = state
+        assert sum(10 ** a.score([x]) for x in range(len(words))) + 10 ** a.score([10**6]) == pytest.approx(1.0)
+        assert state == 0 or a.fail[state] < state and a.fail_weight[state] < 0
+    for code, arc in a.arcs.items():  # an arc leads to a context that ends with its token, or to the empty one
+        assert 0 <= a.target[arc] < len(a.fail) and code // a.tokens < len(a.fail)
+
+
+def test_very_long_text_is_scored_whole(spark):
+    text = " ".join(f"w{i % 701}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2 w3")], "doc_id long, text string")
+    got = {r.row.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") == 1).collect()}
+    assert got[1].n_tokens == got[1].train_tokens == 300_001 and got[2].n_known == 4
+    assert got[1].score == pytest.approx(brute([(text, True)], 3)[0][4])
 
 
 def test_scores_without_training_rows_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm.score_texts(docs, F.lit(False)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
+    clash = spark.createDataFrame([(1, "a b", "x", 3, 4)], "doc_id long, text string, g string, h int, score int")
+    assert lm.score_texts(clash, F.lit(None).cast("boolean")).first().row.asDict() == clash.first().asDict()
     assert lm.score_texts(docs.limit(0), F.lit(True)).count() == 0
 
 
