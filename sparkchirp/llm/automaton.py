@@ -63,29 +63,32 @@ class SuffixAutomaton:
             for s in states:
                 count[link[s]] += count[s]
 
-    def matches(self, sequence, threshold: int) -> list[int]:
-        """Matching statistics cut at ``threshold``: for every position, the state of the string of just that
-        length which ends there if it occurs in the automaton, else -1."""
-        nxt, link, length = self.next, self.link, self.length
-        out = []
+    def shared(self, sequence, times: int = 2):
+        """Matching statistics: for every position, the length of the longest string that ends there and occurs at
+        least ``times`` times in the automaton (after ``finish``)."""
+        nxt, link, length, count = self.next, self.link, self.length, self.count
         s = n = 0
         for c in sequence:
             t = nxt[s].get(c)
-            while t is None and s:
+            while s and (t is None or count[t] < times):
                 s = link[s]
                 n = length[s]
                 t = nxt[s].get(c)
-            if t is None:
+            if t is None or count[t] < times:
                 n = 0
-                out.append(-1)
-                continue
-            s = t
-            n += 1
-            if n >= threshold:
-                while length[link[s]] >= threshold:
-                    s = link[s]
-                n = min(n, length[s])
-                out.append(s)
             else:
-                out.append(-1)
-        return out
+                s = t
+                n += 1
+            yield n
+
+
+def spans(statistics, threshold: int) -> list[tuple[int, int]]:
+    """Maximal spans [begin, end) covered by matches of ``threshold`` or more, from the matching statistics."""
+    out: list[tuple[int, int]] = []
+    for end, n in enumerate(statistics, 1):
+        if n >= threshold:
+            if out and end - n <= out[-1][1]:
+                out[-1] = min(out[-1][0], end - n), end
+            else:
+                out.append((end - n, end))
+    return out

@@ -3,23 +3,28 @@
 A window is ``width`` consecutive words of a document; words covered by a window that starts anywhere else too
 are removed, all its occurrences alike, judged on the input.
 
-Streaming every document past the automata of the whole corpus would be quadratic, so a shard is only met by
-the text that can match it:
-
-1. each group of documents sends the fingerprints of its windows to buckets; a bucket tells the groups which
-   fingerprints occur again and which group, the first that has one, is its reference shard (a filter: it
-   may pass windows that do not repeat, about 3 in 10,000, at any input size, and loses none);
-2. groups send the runs of such windows as words to that shard, equal runs once with all their places;
-3. each shard builds the suffix automaton of its own runs, streams the other runs through it for matching
-   statistics and decides on the words themselves which windows repeat; windows that match no reference are
-   compared with each other;
-4. groups remove the maximal spans.
-
-A passage common to many documents arrives once for each group that has it, not once a document.
+Every part of the corpus is a reference for all others, so no automaton is broadcast to all documents: that would
+be quadratic.  Automata are built for small reference shards, and text is only sent to those it can match:
+
+1. A window's anchor is the run of ``width // 3`` words in it with the smallest hash (the leftmost of equal ones), so
+   equal windows have equal anchors; neighbouring windows share theirs, one anchor serves about 13.  Groups of
+   documents count anchors through buckets.  Only text around anchors that occur again goes on: a repeated window
+   is never lost, whatever else passes is for the automata to decide.
+2. The reference shard of an anchor is all stretches of words whose windows have it, equal stretches with their
+   number.  A suffix automaton is built of it, the stretches are streamed through, and the matching statistics
+   (the longest string that ends at each word and occurs at least twice) give the maximal spans of ``width`` or more.
+3. An anchor that occurs more than ``HOT`` times (a line or passage of many documents) would make a large shard of
+   mostly different stretches.  Its windows are counted too, each by itself, and those that occur again go on
+   one by one, each with a shard of its own: the same automata decide, at any number of copies.
+4. Groups remove the spans.
+
+Groups send equal stretches once with all their places, so a passage common to many documents arrives once for each
+group that has it, not once a document; shards are dealt by a hash of the anchor.  An automaton holds at most ``HOT``
+stretches of an anchor, or the copies of one window.
 
 Defined cases: null text has no words; documents shorter than a window lose nothing; rows that repeat are
-further occurrences, so all their windows go; an empty table gives an empty result; other columns pass
-through.
+further occurrences, so all their windows go; texts of any length are read whole; an empty table gives an empty
+result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,74 +34,64 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .automaton import SuffixAutomaton
-from .common import U64, Words, gram_starts, grams, tidied_group
-from .exchange import Buckets, deal, ordered, runs
-
-GROUP_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
-
-
-def windows_of(text_column, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """(words, start word of every window, its fingerprint)."""
-    w = Words(text_column)
-    if len(w) < width:
-        return w, np.zeros(0, np.int64), np.zeros(0, U64)
-    start = np.flatnonzero(gram_starts(w.first, width)[: len(w) - width + 1])
-    return w, start, grams(w.hashes(), width)[start]
-
-
-def spans(flags: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal word spans covered by the flagged windows."""
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > width)
-    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + width).tolist(), strict=True))
-
-
-def decide(texts: list[bytes], times: list[int], own: list[bool], width: int) -> list[np.ndarray]:
-    """For every distinct run of words: which of its windows occur at least twice among all runs.
-
-    ``times`` counts the places of a run, ``own`` says which runs belong to the reference shard.
-    """
-    out = []
-    for x, n in zip(texts, times, strict=True):
-        out.append(np.full(x.count(b" ") + 2 - width, n > 1))
-    if all(n > 1 for n in times):
-        return out
-    ids: dict[bytes, int] = defaultdict(lambda: len(ids))
-    words = [[ids[w] for w in x.split(b" ")] for x in texts]
+from .automaton import SuffixAutomaton, spans
+from .common import MOST_PARTS, U64, Words, gram_starts, grams, mix, pieces, tidied_group
+from .exchange import ANSWER, MESSAGE, Counted, Summed, deal, messages, ordered, totals
+
+GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 2 << 20, 32 << 20, 4 << 20
+HOT = 256
+_PLACE = U64((1 << 28) - 1)  # words of a group are numbered in 28 bits
+
+
+class Anchored:
+    """The windows of some texts by anchor: stretch i holds the windows that start at words begin[i] to last[i] of one
+    document and share the anchor ``key[i]``."""
+
+    def __init__(self, column, width: int):
+        self.width, self.words = width, Words(column)
+        w, size = self.words, max(1, width // 3)
+        self.hashes = w.hashes()
+        self.begin = self.last = np.zeros(0, np.int64)
+        self.key = np.zeros(0, U64)
+        if len(w) < width:
+            return
+        start = np.flatnonzero(gram_starts(w.first, width)[: len(w) - width + 1])
+        if not len(start):
+            return
+        gram = grams(self.hashes, size)
+        least = gram & ~_PLACE | np.arange(len(gram), dtype=U64)
+        reach, many = 1, width - size + 1
+        while reach < many:  # the smallest of ``reach`` neighbours, doubled until it covers a window
+            step = min(reach, many - reach)
+            least = np.minimum(least[:-step], least[step:])
+            reach += step
+        at = (least[start] & _PLACE).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
+        self.begin, self.last = start[new], start[np.append(new[1:], len(start)) - 1]
+        self.key = mix(gram[at[new]] ^ U64(0x2545F4914F6CDD1D))
+
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, key) of every window of the stretches ``which``."""
+        n = self.last[which] - self.begin[which] + 1
+        start = np.repeat(self.begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return start, mix(grams(self.hashes, self.width)[start]) if len(start) else np.zeros(0, U64)
+
+
+def repeated_spans(texts: list[bytes], times: list[int], width: int) -> list[list[tuple[int, int]]]:
+    """For every distinct stretch of words, which occurs ``times`` times: the maximal spans of words covered by windows that
+    occur at least twice among all of them."""
+    number: dict[bytes, int] = defaultdict(lambda: len(number))
+    sequences = [[number[w] for w in x.split(b" ")] for x in texts]
     automaton = SuffixAutomaton()
-    for x, n, o in zip(words, times, own, strict=True):
-        if o:
-            automaton.add(x, n)
+    for x, n in zip(sequences, times, strict=True):
+        automaton.add(x, n)
     automaton.finish()
-    hit: set[int] = set()
-    loose: dict[tuple, list] = defaultdict(list)
-    for k, (x, n, o) in enumerate(zip(words, times, own, strict=True)):
-        if o:
-            continue
-        for i, s in enumerate(automaton.matches(x, width)[width - 1 :]):
-            if s >= 0:
-                hit.add(s)
-                out[k][i] = True
-            else:
-                loose[tuple(x[i : i + width])].append((k, i))
-    for places in loose.values():
-        if len(places) > 1:
-            for k, i in places:
-                out[k][i] = True
-    count = automaton.count
-    for k, (x, n, o) in enumerate(zip(words, times, own, strict=True)):
-        if o and n == 1:
-            for i, s in enumerate(automaton.matches(x, width)[width - 1 :]):
-                if count[s] > 1 or s in hit:
-                    out[k][i] = True
-    return out
+    return [spans(automaton.shared(x), width) for x in sequences]
 
 
 def remove_repeats(
@@ -106,100 +101,83 @@ def remove_repeats(
     joined by one space, or with ``digest`` the SHA-256 of that; with ``untouched``, texts that lose nothing as they were."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     dealt = deal(docs, id_col, text_col, row, GROUP_BYTES, BUCKET_BYTES)
-    rows, buckets, parts = dealt.rows, dealt.buckets, dealt.parts
+    rows, buckets = dealt.rows, dealt.buckets
+    shards = pieces(dealt.size, SHARD_BYTES)
 
-    def keyed(table):
-        w, start, key = windows_of(table.column("text"), width)
-        distinct, back, times = np.unique(key, return_inverse=True, return_counts=True)
-        return w, start, distinct, back, times, Buckets(distinct, buckets, low=True)  # the low 32 bits are all that is sent
+    def counted(keys: np.ndarray) -> tuple[Counted, np.ndarray]:
+        """Distinct keys with their counts, and which of them each key is."""
+        distinct, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+        return Counted(distinct, times, buckets), back
 
-    def send(table: pa.Table) -> pa.Table:
-        table = ordered(table)
-        _, _, distinct, _, times, by = keyed(table)
-        g = table.column("g")[0].as_py()
-        return pa.table(
-            [
-                pa.array(by.ids, pa.int32()),
-                pa.array([g] * len(by.ids), pa.int32()),
-                pa.array([x.tobytes() for x in by.parts((distinct & U64(0xFFFFFFFF)).astype("<u4"))], pa.binary()),
-                pa.array([np.packbits(x).tobytes() for x in by.parts(times > 1)], pa.binary()),
-            ],
-            names=["bucket", "g", "keys", "again"],
-        )
-
-    sent = rows.groupBy("g").applyInArrow(tidied_group(send), "bucket int, g int, keys binary, again binary").repartition(parts, "bucket")
+    def over_all(keys: np.ndarray, answers: pa.Table, turn: int) -> np.ndarray:
+        """How often each key occurs in all documents, by the answers of a turn."""
+        one, back = counted(keys)
+        mine = answers.filter(pc.equal(answers.column("turn"), turn))
+        return totals([one], zip(mine.column("bucket").to_pylist(), mine.column("totals").to_pylist(), strict=True))[0][back]
+
+    def send_anchors(table: pa.Table) -> pa.Table:
+        found = Anchored(ordered(table).column("text"), width)
+        return messages([counted(found.key)[0]], table.column("g")[0].as_py(), 1)
 
     def answer(table: pa.Table) -> pa.Table:
-        g = np.asarray(table.column("g"))
-        at = np.argsort(g, kind="stable")
-        table, g = table.take(pa.array(at)), g[at]
-        keys = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-        size = np.array([len(x) for x in keys])
-        again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("again").to_pylist(), size, strict=True)]).astype(bool)
-        keys, source = np.concatenate(keys), np.repeat(np.arange(len(g)), size)
-        order = np.argsort(keys, kind="stable")  # equal keys by group
-        first = runs(keys[order])
-        many = (np.diff(np.concatenate([first, [len(keys)]])) > 1) | np.logical_or.reduceat(again[order], first)
-        which = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(keys)]])))
-        repeated, owner = np.empty(len(keys), np.bool_), np.empty(len(keys), np.int32)
-        repeated[order] = many[which]
-        owner[order] = g[source[order[first]]][which]
-        ends = np.cumsum(size)
-        out = []
-        for i, (a, b) in enumerate(zip(ends - size, ends, strict=True)):
-            r = repeated[a:b]
-            if r.any():
-                out.append((int(g[i]), table.column("bucket")[0].as_py(), np.packbits(r).tobytes(), owner[a:b][r].astype("<i4").tobytes()))
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["g", "bucket", "repeated", "owner"])
-
-    answers = sent.groupBy("bucket").applyInArrow(tidied_group(answer), "g int, bucket int, repeated binary, owner binary")
-
-    def gather(table: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["shard", "g", "words", "doc", "start"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        if not table.num_rows or not replies.num_rows:
+        return Summed(table, [False]).answers(table)
+
+    def exchanged(sent: DataFrame, turn: int) -> DataFrame:
+        return dealt.by_bucket(sent).groupBy("bucket").applyInArrow(tidied_group(answer), ANSWER).withColumn("turn", F.lit(turn))
+
+    def send_hot(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return messages([], 0, 1)
+        found = Anchored(ordered(table).column("text"), width)
+        _, keys = found.windows(np.flatnonzero(over_all(found.key, answers, 1) > HOT))
+        return messages([counted(keys)[0]], table.column("g")[0].as_py(), 1)
+
+    anchors = exchanged(rows.groupBy("g").applyInArrow(tidied_group(send_anchors), MESSAGE), 1)
+    hot = exchanged(dealt.by_group(anchors).applyInArrow(tidied_group(send_hot), MESSAGE), 2)
+
+    names = ["shard", "g", "anchor", "words", "doc", "start"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def gather(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         table = ordered(table)
-        w, start, distinct, back, _, by = keyed(table)
-        repeated, owner = np.zeros(len(distinct), np.bool_), np.zeros(len(distinct), np.int32)
-        for b, bits, owners in zip(*(replies.column(c).to_pylist() for c in ("bucket", "repeated", "owner")), strict=True):
-            part = by.places(b)
-            part = part[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)]
-            repeated[part], owner[part] = True, np.frombuffer(owners, "<i4")
-        at = np.flatnonzero(repeated[back])
-        start, whose = start[at], owner[back[at]]
-        doc = np.searchsorted(w.first, start, "right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(whose) != 0) | (np.diff(doc) != 0)]))
-        words = [x for t in table.column("text").to_pylist() for x in t.encode().split()]
-        found: dict[tuple, tuple[list, list]] = {}
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(start)], strict=True):
-            key = int(whose[a]), b" ".join(words[start[a] : start[b - 1] + width])
-            places = found.setdefault(key, ([], []))
-            places[0].append(int(doc[a]))
-            places[1].append(int(start[a] - w.first[doc[a]]))
+        found = Anchored(table.column("text"), width)
+        times = over_all(found.key, answers, 1)
+        some = np.flatnonzero((times > 1) & (times <= HOT))
+        start, key = found.windows(np.flatnonzero(times > HOT))
+        again = np.flatnonzero(over_all(key, answers, 2) > 1)
+        begin = np.concatenate([found.begin[some], start[again]])
+        end = np.concatenate([found.last[some], start[again]]) + width
+        key = np.concatenate([found.key[some], key[again]])
+        first = found.words.first
+        doc = np.searchsorted(first, begin, "right") - 1
+        order = np.argsort(doc, kind="stable")
+        text, held, words = table.column("text").to_pylist(), -1, []
+        places: dict[tuple[int, bytes], tuple[list, list]] = {}
+        for d, a, b, k in zip(doc[order].tolist(), (begin - first[doc])[order].tolist(), (end - first[doc])[order].tolist(), key[order].tolist(), strict=True):
+            if d != held:
+                held, words = d, text[d].encode().split()
+            at = places.setdefault((k, b" ".join(words[a:b])), ([], []))
+            at[0].append(d)
+            at[1].append(a)
+        keys = np.array([k for k, _ in places], U64)
+        shard = ((keys >> U64(32)) % U64(shards)).astype(np.int32)
         g = table.column("g")[0].as_py()
-        cols = [[k[0] for k in found], [g] * len(found), [k[1] for k in found], [p[0] for p in found.values()], [p[1] for p in found.values()]]
+        cols = [shard, [g] * len(places), keys.view(np.int64), [x for _, x in places], [p[0] for p in places.values()], [p[1] for p in places.values()]]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    gathered = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tidied_group(gather), "shard int, g int, words binary, doc array<int>, start array<int>")
+    gathered = dealt.by_group(anchors.unionByName(hot)).applyInArrow(tidied_group(gather), "shard int, g int, anchor long, words binary, doc array<int>, start array<int>")
 
     def judge(table: pa.Table) -> pa.Table:
-        g, text, doc, start = (table.column(c).to_pylist() for c in ("g", "words", "doc", "start"))
-        shard = table.column("shard")[0].as_py()
-        number: dict[bytes, int] = {}
-        times, own = [], []
-        for x, gg, d in zip(text, g, doc, strict=True):
-            k = number.setdefault(x, len(number))
-            if k == len(times):
-                times.append(0)
-                own.append(False)
-            times[k] += len(d)
-            own[k] |= gg == shard
-        found = [spans(f, width) for f in decide(list(number), times, own, width)]
+        anchor, g, text, doc, start = (table.column(c).to_pylist() for c in ("anchor", "g", "words", "doc", "start"))
+        number: dict[int, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        for k, x, d in zip(anchor, text, doc, strict=True):
+            number[k][x] += len(d)
+        cuts = {k: dict(zip(of, repeated_spans(list(of), list(of.values()), width), strict=True)) for k, of in number.items()}
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for x, gg, ds, ss in zip(text, g, doc, start, strict=True):
-            cut = found[number[x]]
+        for k, gg, x, ds, ss in zip(anchor, g, text, doc, start, strict=True):
+            cut = cuts[k][x]
             if cut:
                 out[0].append(gg)
                 out[1].append([d for d in ds for _ in cut])
@@ -208,7 +186,7 @@ def remove_repeats(
         lists = pa.list_(pa.int32())
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(c, lists) for c in out[1:])], names=["g", "doc", "begin", "end"])
 
-    judged = gathered.repartition(parts, "shard").groupBy("shard").applyInArrow(tidied_group(judge), "g int, doc array<int>, begin array<int>, end array<int>")
+    judged = gathered.repartitionById(min(shards, MOST_PARTS), "shard").groupBy("shard").applyInArrow(tidied_group(judge), "g int, doc array<int>, begin array<int>, end array<int>")
 
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -241,7 +219,7 @@ def remove_repeats(
         row = table.column("row").combine_chunks()
         return pa.table([row, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return rows.groupBy("g").cogroup(judged.groupBy("g")).applyInArrow(tidied_group(finish), schema)
+    return dealt.by_group(judged).applyInArrow(tidied_group(finish), schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, chars_col: str = "n_chars") -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkchirp.llm import substrings
-from sparkchirp.llm.automaton import SuffixAutomaton
+from sparkchirp.llm.automaton import SuffixAutomaton, spans
 from sparkchirp.llm.common import Words, gram_starts, grams
 
 
@@ -49,6 +49,7 @@ def test_frame_equals_brute_force(spark, monkeypatch):
     for group in (300, 1 << 20):
         monkeypatch.setattr(substrings, "GROUP_BYTES", group)
         monkeypatch.setattr(substrings, "BUCKET_BYTES", 2 * group)
+        monkeypatch.setattr(substrings, "SHARD_BYTES", group)
         got = {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, width=6).collect()}
         assert [got[i] for i in range(len(texts))] == brute(texts, 6)
     digest = {r.row.doc_id: r.kept for r in substrings.remove_repeats(docs, width=6, digest=True).collect()}
@@ -57,26 +58,48 @@ def test_frame_equals_brute_force(spark, monkeypatch):
     assert out.columns == docs.columns and out.count() == len(texts)
 
 
-def test_colliding_filter_is_put_right(spark, monkeypatch):
-    """With one-valued fingerprints every window passes the filter; the automata alone must decide."""
-    real = substrings.windows_of
-    monkeypatch.setattr(substrings, "windows_of", lambda c, w: (lambda x: (x[0], x[1], x[2] % np.uint64(3)))(real(c, w)))
-    texts = corpus(2, 40)
-    table = pa.table({"g": [0] * len(texts), "h": list(range(len(texts))), "text": [t or "" for t in texts]})
-    w, start, key = substrings.windows_of(table.column("text"), 6)
-    assert len(np.unique(key)) <= 3 and len(start) == len(key)
-    runs = [" ".join((t or "").split()).encode() for t in texts if len((t or "").encode().split()) >= 6]
-    distinct = list(dict.fromkeys(b" ".join(x.split()) for x in runs))
-    times = [runs.count(x) for x in distinct]
-    got = substrings.decide(distinct, times, [i % 2 == 0 for i in range(len(distinct))], 6)
-    seen = Counter()
-    for x, n in zip(distinct, times, strict=True):
-        v = x.split(b" ")
-        for i in range(len(v) - 5):
-            seen[tuple(v[i : i + 6])] += n
-    for x, f in zip(distinct, got, strict=True):
-        v = x.split(b" ")
-        assert f.tolist() == [seen[tuple(v[i : i + 6])] > 1 for i in range(len(v) - 5)]
+def test_hot_anchors_and_colliding_keys(spark, monkeypatch):
+    """Anchors of few or many places, and keys that tell nothing apart: the automata alone must decide."""
+    texts = corpus(2, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real = substrings.Anchored
+
+    class Folded(real):
+        def __init__(self, column, width):
+            super().__init__(column, width)
+            self.key = self.key % np.uint64(3)
+
+        def windows(self, which):
+            start, key = super().windows(which)
+            return start, key % np.uint64(3)
+
+    for hot, kind in ((0, real), (2, real), (1 << 30, Folded), (2, Folded)):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings, "GROUP_BYTES", 500)
+        monkeypatch.setattr(substrings, "Anchored", kind)
+        got = {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, width=6).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 6)
+
+
+def test_stretches_cover_each_window_once():
+    texts = corpus(3, 80)
+    found = substrings.Anchored(pa.array(texts, pa.string()), 6)
+    start, key = found.windows(np.arange(len(found.begin)))
+    w = found.words
+    want = [w.first[d] + i for d in range(len(texts)) for i in range(w.first[d + 1] - w.first[d] - 5)]
+    assert start.tolist() == want and len(key) == len(want)
+    anchor = {}
+    for i, (a, b) in enumerate(zip(found.begin, found.last, strict=True)):
+        for s in range(a, b + 1):  # equal windows have equal anchors
+            assert anchor.setdefault(tuple(w.word(k) for k in range(s, s + 6)), found.key[i]) == found.key[i]
+
+
+def test_very_long_text_and_clashing_names(spark):
+    one = [f"w{i * 7919 % 100_003}" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join(one), 1, "x", 5), (2, "p q " + " ".join(one[500:560]), 2, "y", 6)], "doc_id long, text string, shard int, words string, n_words int")
+    got = {r.row.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert (got[2].n_words, got[2].n_removed, got[2].kept, got[2].row.words) == (62, 60, "p q", "y")
+    assert got[1].n_words == 200_000 and got[1].n_removed == brute([" ".join(one), " ".join(one[500:560])], 35)[0][1]
 
 
 def test_empty_and_short(spark):
@@ -93,16 +116,26 @@ def test_untouched_texts_stay_as_they_were(spark):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 2), max_size=20), st.integers(1, 4))
-def test_automaton_counts_and_matches(sequences, query, width):
+def test_matching_statistics(sequences, query, times):
     a = SuffixAutomaton()
     for s in sequences:
         a.add(s)
     a.finish()
-    seen = Counter(tuple(s[i : i + width]) for s in sequences for i in range(len(s) - width + 1))
-    states = a.matches(query, width)
-    for i in range(len(query)):
-        want = seen[tuple(query[i - width + 1 : i + 1])] if i >= width - 1 else 0
-        assert (a.count[states[i]] if states[i] >= 0 else 0) == want
+    for i, n in enumerate(a.shared(query, times)):
+        longest = 0
+        for k in range(1, i + 2):
+            x = tuple(query[i - k + 1 : i + 1])
+            if sum(x == tuple(s[j : j + k]) for s in sequences for j in range(len(s) - k + 1)) >= times:
+                longest = k
+        assert n == longest
+
+
+@given(st.lists(st.integers(0, 6), max_size=30), st.integers(1, 4))
+def test_spans_are_the_cover_of_the_matches(statistics, width):
+    statistics = [min(n, i + 1) for i, n in enumerate(statistics)]
+    flags = [any(n >= width and i - n < p <= i for i, n in enumerate(statistics)) for p in range(len(statistics))]
+    got = spans(statistics, width)
+    assert [any(a <= p < b for a, b in got) for p in range(len(statistics))] == flags
 
 
 @settings(max_examples=100, deadline=None)
