@@ -141,17 +141,58 @@ def test_ordinal_grades_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
-def test_gradient_is_right():
+def likelihood(sets, grade, model, words, l2):
+    """The penalised mean negative log likelihood, term by term."""
+    weight = dict(zip(words.tolist(), model.weights.tolist(), strict=True))
+    edge = [-math.inf, *model.thresholds, math.inf]
+    total = 0.0
+    for s, g in zip(sets, grade, strict=True):
+        eta = sum(weight.get(x, 0.0) for x in s.tolist())
+        below = [0.0 if e == -math.inf else 1.0 if e == math.inf else 1 / (1 + math.exp(eta - e)) for e in edge]
+        k = list(model.grades).index(g)
+        total -= math.log(below[k + 1] - below[k])
+    return total / len(sets) + l2 / 2 * sum(w * w for w in weight.values())
+
+
+def test_fit_has_the_greatest_likelihood():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 30, 6)).astype(np.uint64) for _ in range(400)]
-    grade = np.array([min(2, int((s < 3).sum())) for s in sets])
+    words = np.arange(8, dtype=np.uint64)
+    sets = [np.unique(rng.integers(0, 8, 3)).astype(np.uint64) for _ in range(300)]
+    grade = np.array([min(2, int((s < 3).sum() + (rng.random() < 0.2))) for s in sets])
     indptr = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    model = toxicity.fit(indptr, np.concatenate(sets), grade, least_z=3.0)
-    assert set(model.words[np.argsort(-model.weights)[:3]].tolist()) == {0, 1, 2}
+    model = toxicity.fit(indptr, np.concatenate(sets).astype(int), grade, words, l2=1e-2)
+    assert set(np.argsort(-model.weights)[:3].tolist()) == {0, 1, 2}
+    best = likelihood(sets, grade, model, words, 1e-2)
+    for part in (model.weights, model.thresholds):
+        for i in range(len(part)):
+            for step in (0.01, -0.01):
+                part[i] += step
+                assert likelihood(sets, grade, model, words, 1e-2) > best
+                part[i] -= step
     p = model.probabilities(np.array([0.0, 50.0, -50.0]))
     assert np.allclose(p.sum(axis=1), 1) and p[1, 2] > 0.99 and p[2, 0] > 0.99
 
 
+def test_model_is_a_function_of_the_rows(spark):
+    docs, marks = labelled(spark, 900)
+    docs = docs.union(docs.limit(300))
+    seen = set()
+    for d, m in ((docs.coalesce(1), marks), (docs.repartition(7), marks.repartition(3)), (docs.orderBy(F.desc("doc_id")), marks.orderBy(F.rand(3)))):
+        model = toxicity.train(d, m, F.col("toxic"), sample_rows=600)
+        got = toxicity.score(docs.repartition(2), model).select("row.doc_id", "severity").distinct().orderBy("doc_id").collect()
+        seen.add((model.words.tobytes(), model.weights.tobytes(), model.thresholds.tobytes(), tuple(r.severity for r in got)))
+    assert len(seen) == 1 and len(got) == 900
+
+
+def test_very_long_text_and_clashing_names_in_toxicity(spark):
+    docs, marks = labelled(spark, 400)
+    model = toxicity.train(docs, marks, F.col("toxic"))
+    long = spark.createDataFrame([(1, "aei ous " * 150_000 + "VILE awful foul rotten", 3, "g"), (2, "aei", 4, "h")], "doc_id long, text string, grade int, row string")
+    got = {r.row.doc_id: r for r in toxicity.score(long, model).collect()}
+    assert got[1].rejected and not got[2].rejected and got[1].row.row == "g"
+    assert toxicity.drop_toxic(long, model).collect() == long.where("doc_id = 2").collect()
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "vile"), (3, "vile")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -167,7 +208,8 @@ def test_copies_do_not_count_as_evidence():
     a, b = np.arange(50, dtype=np.uint64), np.arange(100, 150, dtype=np.uint64)
     near = a.copy()
     near[3] = 999
-    assert toxicity.distinct_rows([a, b, a, np.sort(near), np.zeros(0, np.uint64)]) in ([0, 1, 4], [0, 1, 3, 4])
+    rows = np.array([toxicity.least_hashes(x) for x in (a, b, a, np.sort(near), np.zeros(0, np.uint64))])
+    assert toxicity.distinct_rows(rows) in ([0, 1, 4], [0, 1, 3, 4])
 
 
 # --------------------------------------------------------------------------- top-k
