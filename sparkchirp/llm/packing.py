@@ -1,18 +1,22 @@
 """Mixture-controlled packing of token sequences.
 
-Each source is a queue of chunks.  Windows of ``window_sequences`` sequences are filled by deficit round
-robin: in every window a source gets a credit in proportion to its target share, sends chunks while its
-credit covers them, and carries what is left over to its next turn.  A source's chunk that ends at token e of
-its queue is therefore sent in window floor((e - 1) / credit): a closed form, so no window waits for
-another, and deficits carry over windows and partitions alike.  The windows are laid end to end and cut into
-sequences of ``length`` tokens; only the very last sequence may be shorter.
-
-Positions come from two-level running sums: by (source, hash bucket) for the place in a queue and by block of
-windows for the place in the output; only sums of buckets and blocks meet in one task, never rows.
-
-Defined cases: null or empty text gives a document of the end id alone; null source is a source of its own;
-documents longer than a sequence are cut; rows that repeat are packed each; an empty table gives no pieces.
-Without targets the shares are those of all tokens, which every window can keep to the end.
+Each source is a queue of documents, and output is made in windows by deficit round robin: in every window each queue
+that is not empty gets a credit of tokens in proportion to its target share (``window_sequences`` sequences of
+``length`` tokens for all of them), sends as many ``grain``s of tokens as its credit covers, cut wherever that is, and
+carries the rest of the credit to its next window.  A queue with credit q that sends token e does so in the window k with
+grain * floor(k q / grain) <= e < grain * floor((k + 1) q / grain): a closed form, so no window waits for another, and
+deficits carry over windows and partitions alike.  A queue never is a grain or more away from its share.  Where a
+queue ends, the others go on with their credits, which are the same proportions among them.
+
+Target shares are given by name (``targets``), else they are tokens of the source to the power ``temper``, 1 being the
+sources' own shares.  Sources without a target come after all others, by their own shares.  Windows are laid end to end
+and cut into sequences; only the very last sequence may be shorter.
+
+Positions are running sums in two levels: rows are range-partitioned and summed inside each task, then the sums of
+tasks (a bounded number) are added up; rows of one source or one window are never gathered in a task.
+
+Defined cases: null or empty text gives a document of the end id alone; null source is a source of its own; null ids
+stay null; documents longer than a sequence are cut; rows that repeat are packed each; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fan_out, materialise, pieces, text_blocks, tidied
+from .common import fan_out, materialise, text_blocks, tidied
 from .tokens import encoder
 
-BLOCK_TOKENS = 1 << 20
+GRAIN = 16  # tokens
+BROADCAST_ROWS = 100_000  # about 5 MB of sources
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", remember: int = 1_200_000, block_chars: int = 1 << 23) -> DataFrame:
@@ -58,65 +64,72 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     return materialise(rows.mapInArrow(tidied(work), schema).withColumn("row", F.monotonically_increasing_id()), "token-ids")
 
 
-def running(df: DataFrame, part: str, order: list, amount: str, out: str) -> DataFrame:
-    """``df`` with the sum of ``amount`` over all rows before, by integer ``part`` and then ``order``.
+def running(df: DataFrame, order: list[str], amount: str, out: str, name: str) -> DataFrame:
+    """``df`` (whose rows differ in ``order``) with the sum of ``amount`` over all rows before in that order."""
+    spark = df.sparkSession
+    parts = fan_out(spark, 64 * df.count())
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_in", T.LongType())])
+    at = df.columns.index(amount)
 
-    Parts are summed first, and groups of 1024 parts; only these sums are ordered in one task.
-    """
-    sums = df.groupBy(part).agg(F.sum(amount).alias("_sum")).withColumn("_big", F.floor(F.col(part) / 1024))
-    bigs = sums.groupBy("_big").agg(F.sum("_sum").alias("_of"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    bigs = bigs.select("_big", F.coalesce(F.sum("_of").over(before(Window.orderBy("_big"))), F.lit(0)).alias("_bigs"))
-    sums = sums.join(bigs, "_big").select(part, (F.col("_bigs") + F.coalesce(F.sum("_sum").over(before(Window.partitionBy("_big").orderBy(part))), F.lit(0))).alias("_parts"))
-    inside = df.withColumn("_in", F.coalesce(F.sum(amount).over(before(Window.partitionBy(part).orderBy(*order))), F.lit(0)))
-    return inside.join(sums, part).withColumn(out, F.col("_parts") + F.col("_in")).drop("_in", "_parts")
-
-
-def schedule(rows: DataFrame, length: int, window_sequences: int = 32, targets: dict[str, float] | None = None, bucket_rows: int = 2_000) -> DataFrame:
-    """(row, start, len, at): chunks of at most ``length`` tokens and their place in the output.
-
-    ``rows`` has row, source and n.  ``targets`` maps sources to weights (default: their tokens; a source
-    missing from the map has weight 0 and follows after the last window).
-    """
-    count, total = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
-    span = length * window_sequences
-    buckets = pieces(count, bucket_rows)
-    queue = rows.select("row", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source"), "n").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
-    sums = queue.groupBy("source", "bucket").agg(F.sum("n").alias("_n"))
-    by_source = Window.partitionBy("source")
-    sums = sums.select(
-        "source",
-        "bucket",
-        F.sum("_n").over(by_source).alias("all_n"),
-        F.coalesce(F.sum("_n").over(by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"),
-    )
-    place = Window.partitionBy("source", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    queue = queue.withColumn("_in", F.coalesce(F.sum("n").over(place), F.lit(0))).join(sums, ["source", "bucket"])
-    chunks = queue.select(
-        "row",
-        "source",
-        "bucket",
-        "all_n",
-        (F.col("skip") + F.col("_in")).alias("first"),
-        "n",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / length))).alias("k"),
-    ).select("row", "source", "bucket", "all_n", (F.col("k") * length).alias("start"), F.least(F.lit(length), F.col("n") - F.col("k") * length).alias("len"), "first")
-    end = F.col("first") + F.col("start") + F.col("len") - 1
+    def add_up(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = total + np.cumsum(np.asarray(batch.column(at)))
+            if len(ends):
+                before = np.concatenate([[total], ends[:-1]])
+                total = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ends), part, np.int32)), pa.array(before, pa.int64())], names=schema.names)
+
+    rows = materialise(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add_up, schema), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task: MOST_PARTS at most
+    sums = rows.groupBy("_part").agg(F.sum(amount).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sums), "_part").withColumn(out, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
+def credits(queue: DataFrame, span: int, targets: dict[str, float] | None, temper: float) -> DataFrame:
+    """(source, head, credit, late): where each source's queue begins in the order of all, its tokens a window, and the window
+    that its first token may be sent in; ``queue`` has source, at and n."""
+    sources = queue.groupBy("source").agg(F.min("at").alias("head"), F.sum("n").cast("double").alias("all_n"))
     if targets is None:
-        credit = F.col("all_n") * F.lit(span / total) if total else F.lit(1.0)
+        weight = F.pow("all_n", F.lit(temper))
     else:
-        weight = sum(targets.values())
-        credit = F.coalesce(F.element_at(F.create_map(*[x for s, w in targets.items() for x in (F.lit("s" + s), F.lit(span * w / weight))]), F.col("source")), F.lit(0.0)) if targets else F.lit(0.0)
-    late = F.lit(pieces(total or 0, 1) if targets is not None else pieces(total or 0, span))
-    chunks = chunks.withColumn("window", F.when(credit > 0, F.least(F.floor(end / credit), late)).otherwise(late).cast("long"))
-    chunks = chunks.select("row", "start", "len", "window", "source", "bucket", F.floor(F.col("window") / max(1, BLOCK_TOKENS // span)).alias("block"))
-    return running(materialise(chunks, "chunks"), "block", ["window", "source", "bucket", "row", "start"], "len", "at").select("row", "start", "len", "at")
-
-
-def pack(tokens: DataFrame, length: int = 2048, window_sequences: int = 32, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
+        named = F.create_map(*[x for s, w in targets.items() for x in (F.lit("s" + s), F.lit(float(w)))]) if targets else None
+        weight = F.coalesce(F.element_at(named, F.col("source")), F.lit(0.0)) if targets else F.lit(0.0)
+    sources = sources.withColumn("weight", weight)
+    sums = sources.agg(F.sum("weight").alias("of_weight"), F.sum(F.when(F.col("weight") <= 0, F.col("all_n"))).alias("of_rest"))
+    sources = sources.crossJoin(F.broadcast(sums))  # one row
+    credit = F.when(F.col("weight") > 0, span * F.col("weight") / F.col("of_weight")).otherwise(span * F.col("all_n") / F.col("of_rest"))
+    sources = sources.select("source", "head", "all_n", "weight", credit.alias("credit"))
+    last = sources.agg(F.max(F.when(F.col("weight") > 0, F.ceil(F.col("all_n") / F.col("credit")) + 1)).alias("last"))
+    return sources.crossJoin(F.broadcast(last)).select("source", "head", "credit", F.when(F.col("weight") > 0, F.lit(0)).otherwise(F.coalesce("last", F.lit(0))).cast("long").alias("late"))
+
+
+def schedule(rows: DataFrame, length: int, window_sequences: int = 32, targets: dict[str, float] | None = None, temper: float = 1.0, grain: int = GRAIN) -> DataFrame:
+    """(row, start, len, at): stretches of documents and their place in the output; ``rows`` has row, source and n."""
+    queue = rows.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source"), "row", "n")
+    queue = running(queue, ["source", "row"], "n", "at", "queues")
+    sources = materialise(credits(queue, length * window_sequences, targets, temper), "credits")
+    if sources.count() <= BROADCAST_ROWS:
+        sources = F.broadcast(sources)
+    q, g = F.col("credit"), F.lit(grain)
+    a, b = F.col("at") - F.col("head"), F.col("at") - F.col("head") + F.col("n")
+    long = lambda c: c.cast("long")
+    edge = lambda k: long(F.floor(k * q / g)) * g
+    # the windows that the document's tokens a to b - 1 may lie in, or where these are many, its grains
+    windows = F.transform(F.sequence(F.greatest(long(F.floor(a / q)) - 1, F.lit(0)), long(F.floor(b / (q))) + 1 + long(F.ceil(g / q))), lambda k: F.struct(k.alias("k"), edge(k).alias("x"), edge(k + 1).alias("y")))
+    grains = F.transform(F.sequence(long(F.floor(a / g)), long(F.floor((b - 1) / g))), lambda m: F.struct((long(F.ceil((m + 1) * g / q)) - 1).alias("k"), (m * g).alias("x"), ((m + 1) * g).alias("y")))
+    cuts = queue.join(sources, "source").select("row", "source", "late", a.alias("a"), F.explode(F.when(q >= g, windows).otherwise(grains)).alias("c"), b.alias("b"))
+    start, end = F.greatest("a", F.col("c.x")), F.least("b", F.col("c.y"))
+    cuts = cuts.select((F.col("late") + F.col("c.k")).alias("window"), "source", start.alias("place"), "row", (start - F.col("a")).alias("start"), (end - start).alias("len")).where("len > 0")
+    return running(cuts, ["window", "source", "place"], "len", "at", "chunks").select("row", "start", "len", "at")
+
+
+def pack(
+    tokens: DataFrame, length: int = 2048, window_sequences: int = 32, targets: dict[str, float] | None = None, temper: float = 1.0, grain: int = GRAIN, with_ids: bool = False
+) -> DataFrame:
     """Pieces (id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of tokenised documents."""
     spark = tokens.sparkSession
-    chunks = schedule(tokens.select("row", "source", "n"), length, window_sequences, targets)
+    chunks = schedule(tokens.select("row", "source", "n"), length, window_sequences, targets, temper, grain)
     placed = chunks.groupBy("row").agg(F.collect_list(F.struct("start", "len", "at")).alias("chunks"))
     size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     rows = tokens.select("row", "id", "source", "width", "ids").repartition(fan_out(spark, size), "row").join(placed, "row").select("id", "source", "width", "ids", "chunks")

@@ -167,16 +167,72 @@ def test_packing(spark):
     got = packing.pack(table, 128, 4).collect()
     check_packing(got, ids, 128)
     total = sum(map(len, ids.values()))
-    share = sum(len(ids[i]) for i, _, s, _ in rows if s == "big") / total
-    for w in range(total // 512):
-        part = sum(r.length for r in got if r.source == "big" and r.sequence_id // 4 == w) / 512
-        assert abs(part - share) < 0.6
+    assert sum(r.length for r in got) == total
     aimed = packing.pack(table, 128, 4, {"big": 1.0, "s0": 1.0}, with_ids=True).collect()
     check_packing(aimed, ids, 128)
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in aimed)
     assert packing.pack(packing.tokenise(docs.limit(0), WORDS, 1)).count() == 0
 
 
+def round_robin(queues, span, weights, grain):
+    """All tokens (row, place in the row) in the order in which deficit round robin sends them, window by window."""
+    key = lambda s: "" if s is None else "s" + s
+    out, share = [], {s: w / sum(weights.values()) for s, w in weights.items()}
+    rest = {s: len(x) for s, x in queues.items() if s not in share}
+    for part in (share, {s: n / sum(rest.values()) for s, n in rest.items()}):
+        left, k = {s: list(queues[s]) for s in part if queues.get(s)}, 0
+        sent = dict.fromkeys(left, 0)
+        while any(left.values()):
+            k += 1
+            window = []
+            for s in sorted(left, key=key):
+                due = int(k * (span * part[s]) / grain) * grain - sent[s]
+                window += left[s][:due]
+                left[s] = left[s][due:]
+                sent[s] += due
+            out.append(window)
+    return out
+
+
+@pytest.mark.parametrize("grain", [1, 16])
+def test_packing_is_deficit_round_robin(spark, grain):
+    rng = random.Random(6)
+    sizes = {"a": 60, "b": 40, "c": 30, None: 4, "tiny": 1}
+    rows = [(s, n) for s, many in sizes.items() for n in [rng.choice([1, 5, 70, 300]) for _ in range(many)]]
+    rng.shuffle(rows)
+    table = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(rows)], "row long, source string, n long").repartition(5)
+    queues = {}
+    for i, (s, n) in enumerate(rows):
+        queues.setdefault(s, []).extend((i, p) for p in range(n))
+    tokens = {s: len(x) for s, x in queues.items()}
+    for targets, temper, weights in (
+        (None, 1.0, {s: float(n) for s, n in tokens.items()}),
+        (None, 0.5, {s: float(n) ** 0.5 for s, n in tokens.items()}),
+        ({"a": 1.0, "b": 3.0, "nothing": 1.0}, 1.0, {"a": 1.0, "b": 3.0, "nothing": 1.0}),
+    ):
+        if targets:  # a source that is not there takes no share
+            weights = {s: w for s, w in weights.items() if s in tokens}
+        want = round_robin(queues, 256, weights, grain)
+        got = packing.schedule(table, 64, 4, targets, temper, grain).collect()
+        place = {}
+        for r in got:
+            for k in range(r.len):
+                assert place.setdefault(r.at + k, (r.row, r.start + k)) == (r.row, r.start + k)
+        assert [place[i] for i in range(len(place))] == [t for w in want for t in w]
+        # while all queues last, each window holds each source's share to a grain
+        source = {i: s for i, (s, _) in enumerate(rows)}
+        lasting = min(tokens[s] * sum(weights.values()) / w / 256 for s, w in weights.items())
+        for window in want[: int(lasting)]:
+            for s, w in weights.items():
+                assert abs(sum(source[i] == s for i, _ in window) - 256 * w / sum(weights.values())) < grain + 1e-6
+
+
+def test_packing_null_ids_and_sources(spark):
+    docs = spark.createDataFrame([(None, "a b", None, 1), (None, None, None, 2), (3, "", "s", 3)], "doc_id long, text string, source string, row int")
+    got = packing.pack(packing.tokenise(docs, WORDS, 1), 8, 1).collect()
+    assert sorted((r.id is None, r.length) for r in got) == [(False, 1), (True, 1), (True, 3)]
+
+
 def test_packing_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "same text", "s")] * 5, "doc_id long, text string, source string")
     got = packing.pack(packing.tokenise(docs, WORDS, 1), 8, 1).collect()
