@@ -41,9 +41,13 @@ class Dealt:
     def by_bucket(self, messages: DataFrame, column: str = "bucket") -> DataFrame:
         return messages.repartitionById(min(self.buckets, MOST_PARTS), column)
 
+    def to_groups(self, answers: DataFrame) -> DataFrame:
+        """Answers dealt like the rows."""
+        return answers.repartitionById(min(self.groups, MOST_PARTS), "g")
+
     def by_group(self, answers: DataFrame):
-        """Answers beside the rows, dealt alike: ready for a cogrouped function."""
-        return self.rows.groupBy("g").cogroup(answers.repartitionById(min(self.groups, MOST_PARTS), "g").groupBy("g"))
+        """Answers beside the rows: ready for a cogrouped function."""
+        return self.rows.groupBy("g").cogroup(self.to_groups(answers).groupBy("g"))
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, row: Column, group_bytes: int, bucket_bytes: int, apart: Column | None = None, **more: Column) -> Dealt:

@@ -47,7 +47,8 @@ class Grams:
     """The n-grams of some texts: words and an end token each, a begin mark before the first.
 
     ``keys[m]`` are the distinct keys of order m + 1 and ``at[m]`` numbers, for every token, the n-gram that ends
-    there (-1 where it would reach over the begin mark).  The begin mark has a key of order 1, the last one.
+    there (-1 where it would reach over the begin mark); they are numbered as they first appear.  The begin mark has a
+    key of order 1, the last one.
     """
 
     def __init__(self, column, order: int):
@@ -69,13 +70,16 @@ class Grams:
                 run = mix(run + _ROUND * back)
             here = np.flatnonzero(self.place >= m - 1)
             keys, seen, number = np.unique(run[here], return_index=True, return_inverse=True)
+            order = np.argsort(seen)
+            turn = np.empty_like(order)
+            turn[order] = np.arange(len(order))
             at = np.full(len(token), -1)
-            at[here] = number
-            self.keys.append(keys)
+            at[here] = turn[number]
+            self.keys.append(keys[order])
             self.at.append(at)
-            self.seen.append(here[seen])  # where each n-gram ends first
+            self.seen.append(here[seen[order]])  # where each n-gram ends first
         self.keys[0] = np.append(self.keys[0], BEGIN)
-        self.end = int(np.searchsorted(self.keys[0][:-1], END)) if len(token) else -1
+        self.end = int(self.at[0][self.first[1] - 1]) if len(token) else -1
 
     def counts(self) -> list[np.ndarray]:
         """How often each n-gram occurs; the begin mark once a text."""
@@ -92,9 +96,10 @@ def concentration(once: int, twice: int) -> float:
 class BackoffAutomaton:
     """Numbered states and arcs for all that the texts of ``grams`` can reach.
 
-    State 0 is the empty context.  ``arcs`` maps state * tokens + token to the number of an arc, ``weight`` and
-    ``target`` are those of arcs, ``fail_weight`` and ``fail`` those of the states' failure arcs; a token without an
-    arc in state 0 costs ``unseen`` and stays there.  ``start`` is the state of the begin mark.
+    State 0 is the empty context.  ``first_arc`` is the arc of each state that its text takes first (-1: none), for the
+    token ``first``; ``arcs`` maps state * tokens + token to its other arcs.  ``weight`` and ``target`` are those of
+    arcs, ``fail_weight`` and ``fail`` those of the states' failure arcs; a token without an arc in state 0 costs
+    ``unseen`` and stays there.  ``start`` is the state of the begin mark.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, types: int, strength: list[float]):
@@ -142,27 +147,35 @@ class BackoffAutomaton:
             token.append(last[arc])
             weight.append(np.log10(p[m][arc]))
             target.append(to[arc])
-        code = np.concatenate(source) * self.tokens + np.concatenate(token)
-        self.arcs = dict(zip(code.tolist(), range(len(code)), strict=True))
+        source, token = np.concatenate(source), np.concatenate(token)
+        number = np.arange(len(source))
+        first_arc = np.full(size, -1)
+        first_arc[source[::-1]] = number[::-1]
+        other = np.flatnonzero(first_arc[source] != number)
+        self.arcs = dict(zip((source[other] * self.tokens + token[other]).tolist(), other.tolist(), strict=True))
+        self.first_arc = array("q", first_arc.tobytes())
+        self.first = array("q", np.where(first_arc < 0, -1, token[first_arc] if len(token) else -1).tobytes())
         self.weight, self.target = array("d", np.concatenate(weight).tobytes()), array("q", np.concatenate(target).tobytes())
         self.fail, self.fail_weight = array("q", np.concatenate(fail).tobytes()), array("d", np.concatenate(fail_weight).tobytes())
         self.start = max(0, int(state[0][begin])) if state else 0
 
     def score(self, text: list[int]) -> float:
         """log10 of the probability of one text (its token numbers, the end last): one pass that carries the state."""
-        arcs, weight, target, fail, fail_weight, tokens = self.arcs.get, self.weight, self.target, self.fail, self.fail_weight, self.tokens
+        arcs, weight, target, tokens = self.arcs.get, self.weight, self.target, self.tokens
+        first, first_arc, fail, fail_weight = self.first, self.first_arc, self.fail, self.fail_weight
         total, state = 0.0, self.start
         for x in text:
-            arc = arcs(state * tokens + x)
-            while arc is None and state:
+            while True:
+                arc = first_arc[state] if first[state] == x else arcs(state * tokens + x)
+                if arc is not None:
+                    total += weight[arc]
+                    state = target[arc]
+                    break
+                if not state:
+                    total += self.unseen
+                    break
                 total += fail_weight[state]
                 state = fail[state]
-                arc = arcs(state * tokens + x)
-            if arc is None:
-                total += self.unseen
-            else:
-                total += weight[arc]
-                state = target[arc]
         return total
 
 
@@ -189,24 +202,23 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return messages(sets, table.column("g")[0].as_py(), learn)
 
     sent = dealt.by_bucket(rows.groupBy("g").applyInArrow(tidied_group(send), MESSAGE))
-    figures = ["tokens", "types", *[f"{x}{m}" for m in range(2, order + 1) for x in ("once", "twice")]]
+    groups = dealt.groups
 
-    def figure(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
+        """The answers to the groups, and in a row of its own what the bucket adds to the figures of the corpus."""
         got = Summed(table, whole)
         words = got.sums[0][got.keys[0] != BEGIN]
-        out = [words.sum(), (words > 0).sum()]
+        figures = [words.sum(), (words > 0).sum()]
         for sums in got.sums[1:]:
-            out += [(sums == 1).sum(), (sums == 2).sum()]
-        return pa.table([pa.array([int(x)], pa.int64()) for x in out], names=figures)
-
-    def answer(table: pa.Table) -> pa.Table:
-        return Summed(table, whole).answers(table)
-
-    sums = sent.groupBy("bucket").applyInArrow(tidied_group(figure), ", ".join(f"{x} long" for x in figures))
-    sums = sums.agg(F.array(*[F.coalesce(F.sum(x), F.lit(0)) for x in figures]).alias("figures"))
-    answers = sent.groupBy("bucket").applyInArrow(tidied_group(answer), ANSWER)
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(dealt.groups - 1)))  # the corpus figures reach each group as a row of its own
-    answers = answers.unionByName(sums.select(everywhere.alias("g"), F.lit(-1).alias("bucket"), "figures"), allowMissingColumns=True)
+            figures += [(sums == 1).sum(), (sums == 2).sum()]
+        bucket = table.column("bucket")[0].as_py()
+        own = pa.table([pa.array([bucket % groups], pa.int32()), pa.array([bucket], pa.int32()), pa.array([[int(x) for x in figures]], pa.list_(pa.int64()))], names=["g", "bucket", "figures"])
+        return pa.concat_tables([got.answers(table), own], promote_options="default")
+
+    answers = dealt.to_groups(sent.groupBy("bucket").applyInArrow(tidied_group(answer), f"{ANSWER}, figures array<bigint>"))
+    figures = answers.where("figures is not null").agg(F.array(*[F.coalesce(F.sum(F.col("figures")[i]), F.lit(0)) for i in range(2 * order)]).alias("corpus"))
+    rows = rows.crossJoin(F.broadcast(figures))  # one row: the figures reach each group with its documents
+    answers = answers.where("totals is not null").select("g", "bucket", "totals")
     more = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([rows.schema["row"], *[T.StructField(n, t) for n, t in more]])
 
@@ -216,9 +228,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
         table = ordered(table)
         grams, sets, _ = asked(table)
-        replies = list(zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals", "figures")), strict=True))
-        tokens, types, *seen = next(f for b, _, f in replies if b < 0)
-        counts = totals(sets, [(b, x) for b, x, _ in replies if b >= 0])
+        tokens, types, *seen = table.column("corpus")[0].as_py()
+        counts = totals(sets, zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True))
         del sets, replies
         automaton = BackoffAutomaton(grams, counts, tokens, types, [concentration(*seen[i : i + 2]) for i in range(0, len(seen), 2)])
         begin, word = grams.first[:-1], grams.at[0]
@@ -236,4 +247,4 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             names=schema.names,
         )
 
-    return dealt.by_group(answers).applyInArrow(tidied_group(run), schema)
+    return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tidied_group(run), schema)

@@ -91,8 +91,7 @@ def test_every_state_is_a_distribution(order):
         a.start = state
         assert sum(10 ** a.score([x]) for x in range(len(words))) + 10 ** a.score([10**6]) == pytest.approx(1.0)
         assert state == 0 or a.fail[state] < state and a.fail_weight[state] < 0
-    for code, arc in a.arcs.items():  # an arc leads to a context that ends with its token, or to the empty one
-        assert 0 <= a.target[arc] < len(a.fail) and code // a.tokens < len(a.fail)
+    assert len(a.weight) == len(a.target) == len(a.arcs) + sum(x >= 0 for x in a.first_arc) and all(0 <= x < len(a.fail) for x in a.target)
 
 
 def test_very_long_text_is_scored_whole(spark):
