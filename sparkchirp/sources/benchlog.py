@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The labels of timing lines, in the order of the summary's columns.
+LABELS = (
+    "Initialization time",
+    "Preprocessing time",
+    "Dedispersion time",
+    "Postprocessing time",
+    "Input memcpy time",
+    "Output memcpy time",
+    "Runtime",
+    "GPU execution time",
+    "Total time",
+)
 NUMBER = r"[+-]?[0-9]+\.[0-9]+"
-#: A label ends in the word time, alone or as part of its last word, before blanks and a colon.
-LABEL = r"([A-Z][A-Za-z ]*time|Runtime) *: "
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -15,12 +25,12 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/.]+)[^/]*$", 1).alias("test"), F.col("value").alias("line"))
 
 
-def timings(lines: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """(test, timing, seconds) of the lines with a label (of ``labels``, where given); seconds is null unless the line has just one number."""
-    label: Column = F.regexp_extract("line", LABEL, 1)
+def timings(lines: DataFrame, labels=LABELS) -> DataFrame:
+    """(test, timing, seconds) of the lines with a label, blanks and a colon; seconds is null unless the line has just one number."""
+    label: Column = F.coalesce(*[F.when(F.col("line").rlike(rf"{x} *: "), F.lit(x)) for x in labels])
     numbers = F.regexp_extract_all(F.col("line"), F.lit(f"({NUMBER})"), 1)
     seconds = F.when(F.size(numbers) == 1, F.element_at(numbers, 1).cast("double"))
-    return lines.select("test", label.alias("timing"), seconds.alias("seconds")).where("timing <> ''" if labels is None else F.col("timing").isin(labels))
+    return lines.select("test", label.alias("timing"), seconds.alias("seconds")).where("timing is not null")
 
 
 def summary(times: DataFrame) -> DataFrame:
@@ -30,11 +40,11 @@ def summary(times: DataFrame) -> DataFrame:
     return times.groupBy("test", "timing").agg(F.count(F.lit(1)).alias("n"), *[F.when(whole, c).alias(n) for n, c in stats.items()])
 
 
-def mean_table(times: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """One row a test: its name, a key to sort by, and the mean of every label (of ``labels``, in their order, where given)."""
-    means = summary(times).groupBy("test").pivot("timing", labels).agg(F.first("mean"))
+def mean_table(times: DataFrame, labels=LABELS) -> DataFrame:
+    """One row a test: its name, a key to sort by, and the mean of every label, in their order."""
+    means = summary(times).groupBy("test").pivot("timing", list(labels)).agg(F.first("mean"))
     key = F.regexp_replace(F.regexp_replace("test", "_", ":"), "nchan|nsamp|ndm", "")
-    return means.select("test", key.alias("sort_by"), *[F.col(f"`{x}`") for x in means.columns[1:]])
+    return means.select("test", key.alias("sort_by"), *[F.col(f"`{x}`") for x in labels])
 
 
 def write_mean_table(times: DataFrame, path: str) -> None:

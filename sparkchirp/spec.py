@@ -150,22 +150,27 @@ def linear_dms(start: float, step: float, count: int | None = None, end: float |
 
 
 def adaptive_dms(spec: ObservationSpec, start: float, end: float, pulse_width: float, tol: float) -> list[float]:
-    """Trials spaced so that the smearing from one to the next grows by the factor ``tol``.
+    """Trials spaced so that a pulse between two of them is smeared by at most ``tol`` times what cannot be avoided.
 
-    ``pulse_width`` is in microseconds.  Each trial follows from the one before by the positive root of a
-    quadratic and is rounded to a 32-bit float; the last one may lie beyond ``end``.
+    At dispersion D a pulse of width w (``pulse_width``, in microseconds) is smeared by the sample, itself and the
+    sweep inside a channel, s(D)^2 = dt^2 + w^2 + (inside * D)^2 with inside = 8.3 |df| / f^3 microseconds (f: middle of the
+    band in GHz, df in MHz); a trial off by d adds the sweep over a quarter of the channels, (across * d)^2 with
+    across = inside * n / 4.  The next trial D' after D is the one at which the whole has grown by the tolerance:
+
+        w^2 + dt^2 + (inside * D')^2 + (across * (D' - D))^2 = tol^2 * s(D)^2,
+
+    the larger root of a quadratic in D'.  Each trial is rounded to a 32-bit float before the next; the last one may lie
+    beyond ``end``.
     """
     n = spec.nchans
-    micro = spec.dt * 1e6
     ghz = (spec.f0 + ((n // 2) - 0.5) * spec.df) * 1e-3
-    tol2 = f32(tol) ** 2
-    slope2 = (8.3 * spec.df / ghz**3) ** 2
-    band2 = slope2 * (n * n / 16.0)
-    floor2 = (micro * micro + f32(pulse_width) ** 2) * (tol2 - 1.0)
-    out = [f32(start)]
-    while out[-1] < f32(end):
-        dm = out[-1]
-        allowed = floor2 + tol2 * slope2 * dm * dm
-        root = np.sqrt((slope2 + band2) * allowed - slope2 * band2 * dm * dm)
-        out.append(f32((band2 * dm + root) / (slope2 + band2)))
-    return out
+    least = (spec.dt * 1e6) ** 2 + f32(pulse_width) ** 2
+    tolerated = f32(tol) ** 2
+    inside = (8.3 * spec.df / ghz**3) ** 2
+    across = inside * (n * n / 16.0)
+    trials = [f32(start)]
+    while (here := trials[-1]) < f32(end):
+        room = least * (tolerated - 1.0) + tolerated * inside * here**2
+        # fixed: the order of these operations decides the last bits of the root
+        trials.append(f32((across * here + np.sqrt((inside + across) * room - inside * across * here**2)) / (inside + across)))
+    return trials
