@@ -86,3 +86,9 @@ def pack(df: DataFrame, nbits: int) -> DataFrame:
 def swap_endian(values: bytes) -> bytes:
     """32-bit words with their bytes reversed."""
     return np.frombuffer(values, ">u4").astype("<u4").tobytes()
+
+
+def swap_word(word: Column) -> Column:
+    """A 32-bit word held in a BIGINT with its bytes reversed."""
+    byte = lambda k: F.shiftright(word.cast("bigint"), 8 * k).bitwiseAND(F.lit(255).cast("bigint"))
+    return F.shiftleft(byte(0), 24).bitwiseOR(F.shiftleft(byte(1), 16)).bitwiseOR(F.shiftleft(byte(2), 8)).bitwiseOR(byte(3))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +107,15 @@ def complex_multiply(a: tuple[Column, Column], b: tuple[Column, Column]) -> tupl
 
 def sexagesimal(x: Column) -> tuple[Column, Column, Column]:
     """(first, minutes, seconds) of a number written as ddmmss.s; the sign is dropped."""
-    y = F.abs(x)
-    first = F.floor(y / 10000.0)
-    minutes = F.floor((y - first * 10000) / 100.0)
-    return first.cast("int"), minutes.cast("int"), y - first * 10000 - minutes * 100
+    first, minutes, seconds = split_angle(F.abs(x), F.floor)
+    return first.cast("int"), minutes.cast("int"), seconds
+
+
+def split_angle(x, floor=math.floor):
+    """(first, minutes, seconds) of a number (or column) of at least 0 written as ddmmss.s."""
+    first = floor(x / 10000.0)
+    minutes = floor((x - first * 10000) / 100.0)
+    return first, minutes, x - first * 10000 - minutes * 100
 
 
 def round_up(x: int, multiple: int) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import flt
+from ..plans.shipping import shared_path
 from ..spec import ObservationSpec
 from .tables import shift_matrix
 
@@ -18,7 +19,15 @@ def statistics(series: DataFrame, by: list[str] | None = None, value: str = "val
 
 
 def peaks(series: DataFrame, sigma: float = 6.0, limit: int = 101, value: str = "value") -> DataFrame:
-    """The first ``limit`` samples, by trial and time, that lie more than ``sigma`` standard deviations above the mean."""
+    """The first ``limit`` samples, by trial and time, that lie more than ``sigma`` standard deviations above the mean.
+
+    Two passes are in the nature of it: the mean comes first.  The series is written once to the shared folder, so that
+    the sums over channels are not computed again for the second.
+    """
+    spark = series.sparkSession
+    path = shared_path(spark, "series")
+    series.write.parquet(path)
+    series = spark.read.schema(series.schema).parquet(path)
     v = F.col(value).cast("double")
     both = series.agg(F.struct(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))).scalar()
     marked = series.withColumn("_s", both)

@@ -18,6 +18,9 @@ from .tables import segment_plan
 from .timedomain import output_samples, spectra, with_blocks
 
 
+WHOLE_CELLS = 1 << 26  # samples times channels that one task transforms as a whole: half a gigabyte
+
+
 def sample_delays(spec: ObservationSpec, dms, mode: str) -> np.ndarray:
     """Delays in samples (trial, channel)."""
     exact = np.asarray(dms, np.float32)[:, None] * spec.delays()[None, :]
@@ -57,30 +60,37 @@ def sums_fourier(
     segment: int | None = MIN_SEGMENT,
     dm_block: int = 64,
     extrapolate: bool = False,
+    first: int = 0,
+    count: int | None = None,
 ) -> DataFrame:
-    """(dm_idx, dm, t, value): centred sums over channels divided by their number.
+    """(dm_idx, dm, t, value): centred sums over channels divided by their number, of ``count`` trials from ``first`` on.
 
-    ``segment`` is the least length of a transform; None takes the whole series as one padded segment.
+    ``segment`` is the least length of a transform; None takes the whole series as one padded segment, in one task
+    for each block of trials: refused beyond ``WHOLE_CELLS`` samples times channels.
     """
     delay = spec.max_delay(dms)
     good = output_samples(nsamps, delay)
     if segment is None:
         nfft = round_up(nsamps + delay, MIN_SEGMENT)
+        if nfft * spec.nchans > WHOLE_CELLS:
+            raise ValueError("the series is too long for one transform: give the least length of a segment")
         size = max(1, good)
     else:
         nfft, size, _ = segment_plan(nsamps, delay, segment)
     last = max(0, -(-good // size) - 1)
     delays, keep, values = sample_delays(spec, dms, delay_mode), np.array(spec.killmask), np.asarray(dms, np.float32)
-    nchans, count = spec.nchans, len(dms)
+    nchans, stop = spec.nchans, len(dms) if count is None else min(len(dms), first + count)
+    if stop <= first or not good:
+        return wide.sparkSession.createDataFrame([], "dm_idx int, dm float, t bigint, value double")
     rows = with_blocks(wide.select(F.col("t").cast("bigint").alias("t"), F.col("v").cast("array<double>").alias("v")), size, delay, last)
-    rows = rows.select("t", "v", "gulp", F.explode(F.sequence(F.lit(0), F.lit(-(-count // dm_block) - 1))).alias("block"))
+    rows = rows.select("t", "v", "gulp", F.explode(F.sequence(F.lit(0), F.lit(-(-(stop - first) // dm_block) - 1))).alias("block"))
 
     def work(table: pa.Table) -> pa.Table:
         g, b = table.column("gulp")[0].as_py(), table.column("block")[0].as_py()
         n = min(size, good - g * size)
         x = spectra(table, g * size, min(nfft, nsamps - g * size), nchans)
         spectrum = np.fft.rfft((x - 127.5) / nchans * keep[:, None], n=nfft, axis=1)
-        trials = np.arange(b * dm_block, min(count, (b + 1) * dm_block), dtype=np.int32)
+        trials = np.arange(first + b * dm_block, min(stop, first + (b + 1) * dm_block), dtype=np.int32)
         out = np.stack([np.fft.irfft(rotate_and_sum(spectrum, delays[i], nfft, extrapolate), n=nfft)[:n] for i in trials])
         t = np.tile(np.arange(g * size, g * size + n), len(trials))
         return pa.table([pa.array(np.repeat(trials, n)), pa.array(np.repeat(values[trials], n)), pa.array(t), pa.array(out.ravel())], names=["dm_idx", "dm", "t", "value"])
@@ -88,35 +98,49 @@ def sums_fourier(
     return rows.groupBy("gulp", "block").applyInArrow(work, "dm_idx int, dm float, t bigint, value double")
 
 
-def spectra_fourier(wide: DataFrame, spec: ObservationSpec, dms, nsamps: int, nfft: int | None = None, delay_mode: str = "rint", channel_block: int = 32) -> DataFrame:
-    """(dm_idx, dm, k, re, im): the spectrum of every trial, from partial sums over blocks of channels added up by trial and bin."""
+def spectra_fourier(
+    wide: DataFrame, spec: ObservationSpec, dms, nsamps: int, nfft: int | None = None, delay_mode: str = "rint", channel_block: int = 32, trial_block: int = 64
+) -> DataFrame:
+    """(dm_idx, dm, k, re, im): the spectrum of every trial, from partial sums over blocks of channels added up by trial and bin.
+
+    A task transforms at most ``WHOLE_CELLS`` samples times channels (the blocks get smaller where series are long) for
+    ``trial_block`` trials; one channel of the whole series must fit in that.
+    """
     delay = spec.max_delay(dms)
     output_samples(nsamps, delay)
     nfft = nfft or round_up(nsamps + delay, MIN_SEGMENT)
+    if nfft > WHOLE_CELLS:
+        raise ValueError("the series is too long for one transform")
+    width = max(1, min(channel_block, WHOLE_CELLS // nfft))
+    trials_each = max(1, min(trial_block, WHOLE_CELLS // nfft))
     delays, keep, values = sample_delays(spec, dms, delay_mode), np.array(spec.killmask), np.asarray(dms, np.float32)
-    nchans = spec.nchans
-    long = wide.select(F.col("t").cast("bigint").alias("t"), F.posexplode(F.col("v").cast("array<double>")).alias("ch", "v"))
-    long = long.withColumn("block", F.expr(f"cast(ch div {channel_block} as int)"))
+    nchans, count = spec.nchans, len(dms)
+    long = wide.select(F.col("t").cast("bigint").alias("t"), F.posexplode(F.col("v").cast("array<double>")).alias("ch", "v")).where((F.col("t") >= 0) & (F.col("t") < nsamps))
+    long = long.withColumn("block", F.expr(f"cast(ch div {width} as int)"))
+    long = long.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-count // trials_each) - 1))))
 
     def work(table: pa.Table) -> pa.Table:
-        low = table.column("block")[0].as_py() * channel_block
-        high = min(nchans, low + channel_block)
+        low = table.column("block")[0].as_py() * width
+        high = min(nchans, low + width)
+        begin = table.column("part")[0].as_py() * trials_each
         x = np.zeros((high - low, nfft))
-        t, ch = np.asarray(table.column("t")), np.asarray(table.column("ch")) - low
-        x[ch, t] = (np.asarray(table.column("v")) - 127.5) / nchans * keep[ch + low]
+        np.add.at(x, (np.asarray(table.column("ch")) - low, np.asarray(table.column("t"))), np.asarray(table.column("v")))
+        x[:, :nsamps] = (x[:, :nsamps] - 127.5) / nchans * keep[low:high, None]
         spectrum = np.fft.rfft(x, axis=1)
-        out = np.stack([rotate_and_sum(spectrum, d[low:high], nfft, False) for d in delays])
+        trials = np.arange(begin, min(count, begin + trials_each), dtype=np.int32)
+        out = np.stack([rotate_and_sum(spectrum, delays[i, low:high], nfft, False) for i in trials])
         k = np.tile(np.arange(out.shape[1], dtype=np.int32), len(out))
-        trial = np.repeat(np.arange(len(out), dtype=np.int32), out.shape[1])
-        return pa.table([pa.array(trial), pa.array(k), pa.array(out.real.ravel()), pa.array(out.imag.ravel())], names=["dm_idx", "k", "re", "im"])
+        return pa.table([pa.array(np.repeat(trials, out.shape[1])), pa.array(k), pa.array(out.real.ravel()), pa.array(out.imag.ravel())], names=["dm_idx", "k", "re", "im"])
 
-    partial = long.groupBy("block").applyInArrow(work, "dm_idx int, k int, re double, im double")
+    partial = long.groupBy("block", "part").applyInArrow(work, "dm_idx int, k int, re double, im double")
     named = F.element_at(F.array(*[F.lit(float(x)).cast("float") for x in values]), F.col("dm_idx") + 1)
     return partial.groupBy("dm_idx", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).select("dm_idx", named.alias("dm"), "k", "re", "im")
 
 
 def series_from_spectra(spectrum: DataFrame, nfft: int, good: int) -> DataFrame:
-    """(dm_idx, t, value) back from (dm_idx, k, re, im): the inverse transform of every trial."""
+    """(dm_idx, t, value) back from (dm_idx, k, re, im): the inverse transform of every trial, one trial a task."""
+    if nfft > WHOLE_CELLS:
+        raise ValueError("the series is too long for one transform")
 
     def work(table: pa.Table) -> pa.Table:
         k = np.asarray(table.column("k"))

@@ -3,7 +3,8 @@
 Both give S[dm, t] = sum over channels of keep[ch] * x[t + shift(dm, ch), ch] for 0 <= t < nsamps - max_delay.
 The relational form makes a row for each sample and trial before the sum, which suits short
 data and any SQL around it; the block form reads each spectrum once for each block of trials and is the one
-for large data.
+for large data.  In every form, in the frequency domain and in streams, a missing spectrum counts as zeros, and rows
+that repeat a time add up.
 """
 
 from __future__ import annotations
@@ -31,9 +32,13 @@ def to_wide(long: DataFrame) -> DataFrame:
     return long.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "v"))), lambda x: x["v"]).alias("v"))
 
 
-def channel_major(long: DataFrame) -> DataFrame:
-    """(ch, v array by t): the transpose of the spectra; each channel's series must fit in a row."""
-    return long.groupBy("ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("v"))
+def channel_major(long: DataFrame, block: int | None = None) -> DataFrame:
+    """(ch, block, v array by t): the transpose of the spectra, a row for each channel and ``block`` samples, so that no row
+    grows with the series; without ``block`` (ch, v), where each channel's series must fit in a row."""
+    series = F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("v")
+    if block is None:
+        return long.groupBy("ch").agg(series)
+    return long.groupBy("ch", F.expr(f"t div {block}").alias("block")).agg(series)
 
 
 def output_samples(nsamps: int, max_delay: int) -> int:
@@ -43,7 +48,8 @@ def output_samples(nsamps: int, max_delay: int) -> int:
 
 
 def sums_relational(long: DataFrame, spec: ObservationSpec, dms, nsamps: int, first: int = 0, count: int | None = None) -> DataFrame:
-    """(dm_idx, dm, t, sum) by join and group; trials with no channel left still have sums of 0."""
+    """(dm_idx, dm, t, sum) by join and group; trials with no channel left still have sums of 0, but a sum that no sample at
+    all contributes to (every channel's spectrum is missing) has no row here."""
     good = output_samples(nsamps, spec.max_delay(dms))
     shifts = shift_matrix(long.sparkSession, spec, dms, first, count)
     if len(dms) * spec.nchans <= BROADCAST_CELLS:
@@ -109,18 +115,24 @@ def with_blocks(wide: DataFrame, size: int, halo: int, last: int) -> DataFrame:
 
 
 def spectra(table: pa.Table, begin: int, samples: int, nchans: int) -> np.ndarray:
-    """The spectra of a table (t, v) as an array channels x samples from time ``begin``; missing ones are 0."""
+    """The spectra of a table (t, v) as an array channels x samples from time ``begin``; missing ones are 0, repeated ones add up."""
     t = np.asarray(table.column("t")) - begin
     v = table.column("v").combine_chunks()
-    flat = np.asarray(v.flatten()).reshape(len(t), -1)
+    flat = np.asarray(v.flatten()).reshape(len(t), -1)[:, :nchans]
+    ok = (t >= 0) & (t < samples)
+    if not ok.all():
+        t, flat = t[ok], flat[ok]
+    if len(t) and np.bincount(t).max() > 1:
+        order = np.argsort(t, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) > 0]))
+        t, flat = t[order][first], np.add.reduceat(flat[order], first, axis=0, dtype=np.int64 if flat.dtype.kind in "iu" else flat.dtype)
     kind = flat.dtype
     if kind.kind in "iu":  # as few bits as sums over channels allow: less memory traffic
         low, top = (int(flat.min()), int(flat.max())) if flat.size else (0, 0)
         wide = max(-low, top) * nchans >= 1 << 31
         kind = np.int64 if wide else np.uint16 if low >= 0 and top < 4096 else np.int32
     out = np.zeros((nchans, samples), kind)
-    ok = (t >= 0) & (t < samples)
-    out[:, t[ok]] = flat[ok, :nchans].T
+    out[:, t] = flat.T
     return out
 
 
@@ -153,7 +165,7 @@ def sums_blocks(
         dm_block = -(-trials // min(trials, wanted))
     nblocks = -(-trials // dm_block)
     kind = wide.schema["v"].dataType.elementType.simpleString()
-    v = F.col("v") if kind in ("smallint", "int", "bigint") else F.col("v").cast("array<bigint>")
+    v = F.col("v") if kind in ("tinyint", "smallint", "int", "bigint") else F.col("v").cast("array<bigint>")
     rows = with_blocks(wide.select(F.col("t").cast("bigint").alias("t"), v.alias("v")), gulp, delay, max(0, -(-good // gulp) - 1))
     rows = rows.select("t", "v", "gulp", F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1))).alias("block"))
     nchans = spec.nchans

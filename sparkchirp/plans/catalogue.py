@@ -13,6 +13,7 @@ from ..functions.codec import expand, rescale
 from ..operators import detect, fourier, tables, timedomain
 from ..operators.decimate import decimate_wide
 from ..sources import benchlog
+from ..sources.outputs import inf_table
 from ..spec import MESSAGES, ObservationSpec, adaptive_dms, linear_dms
 from ..streaming.sums import stream_to_table
 
@@ -83,7 +84,7 @@ def spectrum_query(spark, sf_dir):
     wide = filterbank(spark, sf_dir)
     n = _samples(wide)
     nfft = numeric.round_up(n + SPEC.max_delay(DMS), 1024)
-    spectrum = fourier.spectra_fourier(wide, SPEC, DMS[:4], n, nfft)
+    spectrum = fourier.spectra_fourier(wide, SPEC, DMS, n, nfft)
     back = fourier.series_from_spectra(spectrum, nfft, timedomain.output_samples(n, SPEC.max_delay(DMS)))
     return back.withColumn("value", F.round("value", 7) + F.lit(0.0))
 
@@ -148,8 +149,6 @@ def rounded_statistics(df: DataFrame) -> DataFrame:
 
 
 def inf_query(spark, sf_dir):
-    from ..sources.outputs import inf_table
-
     return inf_table(spark, DMS, "obs", 100)
 
 
@@ -331,7 +330,7 @@ SQL = {
         SELECT dm_idx, t, sum AS peak FROM r WHERE k = 1""",
     "fdd_time": f"WITH {sums_sql()} {FOURIER.format(dm='dm,', where='')}",
     "fdd_segmented": f"WITH {sums_sql()} {FOURIER.format(dm='dm,', where='')}",
-    "fdd_spectrum": f"WITH {sums_sql()} {FOURIER.format(dm='', where='WHERE dm_idx < 4')}",
+    "fdd_spectrum": f"WITH {sums_sql()} {FOURIER.format(dm='', where='')}",
     "telescope_names": values_sql([(i, names.telescope(i)) for i in range(17)], "id", "name"),
     "backend_names": values_sql([(i, names.backend(i)) for i in range(13)], "id", "name"),
     "error_strings": values_sql([*enumerate(MESSAGES), (17, "Invalid error code")], "code", "message"),
@@ -339,7 +338,31 @@ SQL = {
         WITH x AS (SELECT range AS id, range * 1234.5::DOUBLE AS y FROM range(100)), a AS (SELECT id, y, floor(y / 10000) AS f FROM x),
         b AS (SELECT id, y, f, floor((y - f * 10000) / 100) AS m FROM a)
         SELECT id, f::INTEGER AS first, m::INTEGER AS minutes, y - f * 10000 - m * 100 AS seconds FROM b""",
-    "inf_header": "SELECT range::INTEGER AS dm_idx, printf('obs_DM%.3f', range * 50::DOUBLE) AS name, printf(' Dispersion measure (cm-3 pc)           =  %d', range * 50) AS dm_line FROM range(20)",
+    "inf_header": """
+        SELECT range::INTEGER AS dm_idx, n::INTEGER AS line_no, replace(replace(x, '#name', printf('obs_DM%.3f', range * 50::DOUBLE)), '#dm', (range * 50)::VARCHAR) AS line
+        FROM range(20), (VALUES
+            (0, ' Data file name without suffix          =  #name'),
+            (1, ' Telescope used                         =  Fake'),
+            (2, ' Instrument used                        =  FAKE'),
+            (3, ' Object being observed                  =  '),
+            (4, ' J2000 Right Ascension (hh:mm:ss.ssss)  =  00:00:0.000000'),
+            (5, ' J2000 Declination     (dd:mm:ss.ssss)  =  00:00:00.000000'),
+            (6, ' Data observed by                       =  Unknown'),
+            (7, ' Epoch of observation (MJD)             =  0.000000000000000'),
+            (8, ' Barycentered?           (1=yes, 0=no)  =  0'),
+            (9, ' Number of bins in the time series      =  100'),
+            (10, ' Width of each time series bin (sec)    =  0.0064'),
+            (11, ' Any breaks in the data? (1=yes, 0=no)  =  0'),
+            (12, ' Type of observation (EM band)          =  Radio'),
+            (13, ' Beam diameter (arcsec)                 =  3600'),
+            (14, ' Dispersion measure (cm-3 pc)           =  #dm'),
+            (15, ' Central freq of low channel (Mhz)      =  1187.25'),
+            (16, ' Total bandwidth (Mhz)                  =  400'),
+            (17, ' Number of channels                     =  64'),
+            (18, ' Channel bandwidth (Mhz)                =  6.25'),
+            (19, ' Data analyzed by                       =  Unknown'),
+            (20, ' Any additional notes:'),
+            (21, '    Input filterbank samples have 8 bits.')) AS v(n, x)""",
     "bench_log_stats": benchlog.EVENTS_SQL,
     "stream_tdd": TS,
 }

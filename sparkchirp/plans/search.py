@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fourier, timedomain
+from ..operators.detect import throughput
 from ..spec import GULP_SIZE, IN_NBITS, OUT_NBITS, Code, Flag, ObservationSpec, SearchError, adaptive_dms, f32
+from .shipping import shared_path
 
 METHODS = ("relational", "time", "fourier")
 
@@ -132,9 +136,10 @@ class SearchPlan:
             nsamps = int(wide.agg(F.coalesce(F.max("t") + 1, F.lit(0))).first()[0])
         self.validate(wide, nsamps, in_nbits, out_nbits, flags, in_stride, out_stride)
         if self.method == "fourier":
-            out = fourier.sums_fourier(wide, self.spec, self.dms, nsamps, **options)
-            last = len(self.dms) if dm_count is None else first_dm_idx + dm_count
-            return out.where((F.col("dm_idx") >= first_dm_idx) & (F.col("dm_idx") < last))
+            # values are centred means, no sums of samples: of the output depths they take the 32-bit one
+            if out_nbits != 32:
+                raise SearchError(Code.UNSUPPORTED_OUT_NBITS)
+            return fourier.sums_fourier(wide, self.spec, self.dms, nsamps, first=first_dm_idx, count=dm_count, **options)
         if self.method == "relational":
             sums = timedomain.sums_relational(timedomain.to_long(wide), self.spec, self.dms, nsamps, first_dm_idx, dm_count)
         else:
@@ -145,3 +150,12 @@ class SearchPlan:
     def sync(df: DataFrame) -> int:
         """Run a result to its end; the number of its rows."""
         return df.count()
+
+    def measure(self, wide: DataFrame, nsamps: int, **arguments) -> tuple[DataFrame, dict[str, float]]:
+        """The series, written to the shared folder, and seconds and operations of the run (as ``throughput`` counts them)."""
+        begin, path = time.perf_counter(), shared_path(self.spark, "series")
+        series = self.execute(wide, nsamps, **arguments)
+        series.write.parquet(path)
+        seconds = time.perf_counter() - begin
+        figures = throughput(nsamps - self.max_delay, nsamps, self.spec.nchans, self.dm_count, seconds)
+        return self.spark.read.schema(series.schema).parquet(path), {"seconds": seconds} | figures

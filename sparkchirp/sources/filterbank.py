@@ -22,6 +22,10 @@ from ..functions.codec import check_depth, pack_samples, unpack_bytes
 from ..spec import Code, ObservationSpec, SearchError
 
 
+#: The narrowest types that hold unsigned samples of each depth: they are what is shuffled.
+SAMPLES = {**dict.fromkeys((1, 2, 4, 8), ("smallint", np.int16)), 16: ("int", np.int32), 32: ("bigint", np.int64)}
+
+
 @dataclass
 class Header:
     """Fields of a file header under their keys."""
@@ -148,7 +152,7 @@ class _Reader(DataSourceReader):
                 raw = f.read((b - a) * self.stride)
                 raw += bytes((b - a) * self.stride - len(raw))
                 packed = np.frombuffer(raw, np.uint8).reshape(b - a, self.stride)[:, : self.need]
-                v = unpack_bytes(np.ascontiguousarray(packed), self.nbits)[:, : self.nchans].astype(np.int64)
+                v = unpack_bytes(np.ascontiguousarray(packed), self.nbits)[:, : self.nchans].astype(SAMPLES[self.nbits][1])
                 offsets = np.arange(b - a + 1, dtype=np.int32) * self.nchans
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.ravel()))], names=["t", "v"])
 
@@ -161,7 +165,7 @@ class FilterbankSource(DataSource):
         return "filterbank"
 
     def schema(self):
-        return "t bigint, v array<bigint>"
+        return f"t bigint, v array<{SAMPLES[read_header(self.options['path'])[0].nbits][0]}>"
 
     def reader(self, schema):
         return _Reader(self.options, True)
@@ -174,6 +178,11 @@ class RawbankSource(FilterbankSource):
     def name(cls):
         return "rawbank"
 
+    def schema(self):
+        nbits = int(self.options.get("nbits", 8))
+        check_depth(nbits)
+        return f"t bigint, v array<{SAMPLES[nbits][0]}>"
+
     def reader(self, schema):
         return _Reader(self.options, False)
 
@@ -188,24 +197,46 @@ def read_raw(spark: SparkSession, path: str, nchans: int, nbits: int = 8, **opti
     return spark.read.format("rawbank").options(path=path, nchans=nchans, nbits=nbits, **options).load()
 
 
-def write_filterbank(wide: DataFrame, header: Header, folder: str, samples: int = 1 << 20) -> DataFrame:
-    """Write spectra (t, v) as files of ``samples`` consecutive samples, each with the header and its own start; gives (part, path, samples)."""
-    base = asdict(header)
+def _write_parts(wide: DataFrame, folder: str, suffix: str, nbits: int, samples: int, encode) -> DataFrame:
+    """A file of each ``samples`` consecutive spectra, its bytes by ``encode`` (part, spectra); a file appears when complete."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
         part = table.column("part")[0].as_py()
         v = np.asarray(table.column("v").combine_chunks().flatten()).reshape(table.num_rows, -1)
-        own = Header(**base | {"nsamples": table.num_rows, "tstart": base["tstart"] + part * samples * base["tsamp"] / 86400.0})
-        uri = f"{folder}/part-{part:05d}.fil"
+        uri = f"{folder}/part-{part:05d}.{suffix}"
         fs, path = open_path(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         temporary = f"{path}.{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(temporary) as f:
-            f.write(header_bytes(own))
-            f.write(pack_samples(v, own.nbits).tobytes())
+            f.write(encode(part, v))
         fs.move(temporary, path)
         return pa.table([pa.array([part], pa.int32()), pa.array([uri]), pa.array([table.num_rows], pa.int64())], names=["part", "path", "samples"])
 
-    rows = wide.select(F.floor(F.col("t") / samples).cast("int").alias("part"), "t", F.col("v").cast("array<bigint>").alias("v"))
+    rows = wide.select(F.floor(F.col("t") / samples).cast("int").alias("part"), "t", F.col("v").cast(f"array<{SAMPLES[nbits][0]}>").alias("v"))
     return rows.groupBy("part").applyInArrow(work, "part int, path string, samples long")
+
+
+def write_filterbank(wide: DataFrame, header: Header, folder: str, samples: int = 1 << 20) -> DataFrame:
+    """Write spectra (t, v) as files of ``samples`` consecutive samples, each with the header and its own start; gives (part, path, samples)."""
+    base = asdict(header)
+    check_depth(header.nbits)
+
+    def encode(part: int, v: np.ndarray) -> bytes:
+        own = Header(**base | {"nsamples": len(v), "tstart": base["tstart"] + part * samples * base["tsamp"] / 86400.0})
+        return header_bytes(own) + pack_samples(v, own.nbits).tobytes()
+
+    return _write_parts(wide, folder, "fil", header.nbits, samples, encode)
+
+
+def write_raw(wide: DataFrame, nbits: int, folder: str, stride: int | None = None, samples: int = 1 << 20) -> DataFrame:
+    """Write spectra (t, v) as files of packed samples alone, each spectrum filled up to ``stride`` bytes; gives (part, path, samples)."""
+    check_depth(nbits)
+
+    def encode(part: int, v: np.ndarray) -> bytes:
+        packed = pack_samples(v, nbits).reshape(len(v), -1)
+        if stride is not None and stride < packed.shape[1]:
+            raise SearchError(Code.INVALID_STRIDE)
+        return np.pad(packed, ((0, 0), (0, (stride or packed.shape[1]) - packed.shape[1]))).tobytes()
+
+    return _write_parts(wide, folder, "raw", nbits, samples, encode)

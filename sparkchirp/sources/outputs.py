@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import backend, telescope
+from ..functions.numeric import split_angle
 from ..spec import f32
 from .filterbank import Header, open_path
 
@@ -21,10 +22,7 @@ def trial_name(stem: str, dm: float) -> str:
 
 def information(header: Header, stem: str, dm: float, samples: int) -> str:
     """The text of a trial's information file; labels and layout are fixed values of the format."""
-    ra, dec = header.src_raj, abs(header.src_dej)
-    ra_h, dec_d = math.floor(ra / 10000.0), math.floor(dec / 10000.0)
-    ra_m, dec_m = math.floor((ra - ra_h * 10000) / 100.0), math.floor((dec - dec_d * 10000) / 100.0)
-    ra_s, dec_s = ra - ra_h * 10000 - ra_m * 100, dec - dec_d * 10000 - dec_m * 100
+    (ra_h, ra_m, ra_s), (dec_d, dec_m, dec_s) = split_angle(header.src_raj), split_angle(abs(header.src_dej))
     day = math.floor(header.tstart)
     fraction = f"{header.tstart - day:.15f}".partition(".")[2]
     width = abs(header.foff)
@@ -56,13 +54,10 @@ def information(header: Header, stem: str, dm: float, samples: int) -> str:
 
 
 def inf_table(spark: SparkSession, dms, stem: str, samples: int, header: Header | None = None) -> DataFrame:
-    """(dm_idx, name, dm_line) of every trial's information file."""
+    """(dm_idx, line_no, line): every line of each trial's information file."""
     header = header or Header(nchans=64, tsamp=6.4e-3, fch1=1581.0, foff=-6.25)
-    rows = []
-    for i, dm in enumerate(dms):
-        text = information(header, stem, dm, samples)
-        rows.append((i, trial_name(stem, dm), next(x for x in text.split("\n") if x.startswith(" Dispersion measure"))))
-    return spark.createDataFrame(rows, "dm_idx int, name string, dm_line string")
+    rows = [(i, k, line) for i, dm in enumerate(dms) for k, line in enumerate(information(header, stem, dm, samples).splitlines())]
+    return spark.createDataFrame(rows, "dm_idx int, line_no int, line string")
 
 
 def write_series(series: DataFrame, header: Header, folder: str, stem: str, count: int | None = None, value: str = "value") -> DataFrame:

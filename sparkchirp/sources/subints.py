@@ -62,3 +62,23 @@ def calibrated(subints: DataFrame, layout: Layout = Layout(), pol: int = 0) -> D
                 )
 
     return subints.select("subint", "wts", "offs", "scl", "data").mapInArrow(work, "t bigint, v array<float>")
+
+
+def write_subints(rows: DataFrame, uri: str, layout: Layout = Layout()) -> DataFrame:
+    """Write rows (subint, wts, offs, scl, data) as one recording, in order, by one task that holds a row at a time; gives (path, rows)."""
+
+    def work(batches):
+        fs, path = open_path(uri)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        count = 0
+        with fs.open_output_stream(path + ".tmp") as f:
+            f.write(bytes(layout.header))
+            for batch in batches:
+                for w, o, c, data in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                    f.write(bytes(layout.gap) + np.array([*w, *o, *c], ">f4").tobytes() + data)
+                    count += 1
+        fs.move(path + ".tmp", path)
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([count], pa.int64())], names=["path", "rows"])
+
+    ordered = rows.select("subint", "wts", "offs", "scl", "data").repartition(1).sortWithinPartitions("subint")
+    return ordered.mapInArrow(work, "path string, rows long")

@@ -1,15 +1,16 @@
 """Channel sums over a stream of spectra.
 
-The state of a beam is the spectra that later outputs still need: the last max_delay ones in order, and any that
-came ahead of a gap.  Each batch gives the outputs that its spectra complete, so results appear once and
-the state never grows with the stream.
+The state of a beam is the spectra that later outputs still need: the last max_delay ones in order, and those that
+came ahead of a gap.  Each batch gives the outputs that its spectra complete, so results appear once.
+
+A gap is waited for until a spectrum ``patience`` samples after it has come; then the missing spectrum counts as zeros,
+as in a table.  A spectrum that comes later than that is dropped; one that comes again while it is held is added, as
+rows of a table are.  So the state holds at most max_delay + patience spectra, at the bytes their largest value needs.
 """
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -18,20 +19,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.timedomain import block_sums
-from ..spec import ObservationSpec
+from ..plans.shipping import shared_path
+from ..spec import GULP_SIZE, ObservationSpec
 
 OUTPUT = "beam int, dm_idx int, dm float, t bigint, sum bigint"
 STATE = "begin bigint, held binary"
 
 
-def advance(begin: int, held: dict[int, np.ndarray], delay: int, shifts: np.ndarray, keep: np.ndarray):
-    """(new begin, sums or None): outputs that the spectra from ``begin`` on complete; used spectra leave ``held``."""
+def advance(begin: int, held: dict[int, np.ndarray], delay: int, shifts: np.ndarray, keep: np.ndarray, patience: int | None = None, most: int = GULP_SIZE):
+    """(new begin, sums or None): at most ``most`` outputs that the spectra from ``begin`` on complete; used spectra leave
+    ``held``.  Without ``patience`` a gap is waited for without end."""
+    newest = max(held, default=begin)
     n = 0
-    while begin + n in held:
+    while n < delay + most:
+        if begin + n not in held:
+            if patience is None or newest - (begin + n) < patience:
+                break
+            held[begin + n] = np.zeros(shifts.shape[1], np.uint8)
         n += 1
     if n <= delay:
         return begin, None
-    x = np.stack([held[begin + k] for k in range(n)], axis=1)
+    x = np.stack([held[begin + k] for k in range(n)], axis=1).astype(np.int64)
     if x.size and x.min() >= 0 and x.max() < 4096:
         x = x.astype(np.uint16)
     sums = block_sums(x, shifts, keep, n - delay)
@@ -40,30 +48,53 @@ def advance(begin: int, held: dict[int, np.ndarray], delay: int, shifts: np.ndar
     return begin + n - delay, sums
 
 
-def stream_sums(wide: DataFrame, spec: ObservationSpec, dms) -> DataFrame:
-    """(beam, dm_idx, dm, t, sum) of a stream of spectra (beam, t, v): spectra count from 0 in each beam and come once each."""
+def add_spectra(begin: int, held: dict[int, np.ndarray], times, spectra) -> None:
+    """Put spectra into ``held``: those before ``begin`` are dropped, those that are there already are added."""
+    for t, v in zip(times, spectra, strict=True):
+        t, v = int(t), np.asarray(v, np.int64)
+        if t >= begin:
+            held[t] = held[t].astype(np.int64) + v if t in held else v
+
+
+def pack_state(held: dict[int, np.ndarray]) -> bytes:
+    times = np.array(sorted(held), np.int64)
+    rows = np.stack([held[int(t)] for t in times]) if len(times) else np.zeros((0, 0), np.uint8)
+    low, high = (int(rows.min()), int(rows.max())) if rows.size else (0, 0)
+    kind = np.result_type(np.min_scalar_type(low), np.min_scalar_type(high))
+    return pickle.dumps((times, rows.astype(kind)), protocol=5)
+
+
+def unpack_state(data: bytes) -> dict[int, np.ndarray]:
+    times, rows = pickle.loads(data)
+    return dict(zip(times.tolist(), rows, strict=True))
+
+
+def stream_sums(wide: DataFrame, spec: ObservationSpec, dms, patience: int | None = GULP_SIZE) -> DataFrame:
+    """(beam, dm_idx, dm, t, sum) of a stream of spectra (beam, t, v); spectra count from 0 in each beam."""
     delay, shifts, keep = spec.max_delay(dms), spec.shifts(dms), np.array(spec.killmask)
     values = np.asarray(dms, np.float32)
 
     def update(key, batches, state: GroupState):
         begin, held = state.get if state.exists else (0, None)
-        held = pickle.loads(bytes(held)) if held is not None else {}
+        held = unpack_state(bytes(held)) if held is not None else {}
         for pdf in batches:
-            held.update((int(t), np.asarray(v, np.int64)) for t, v in zip(pdf["t"], pdf["v"], strict=True))
-        first = begin
-        begin, sums = advance(begin, held, delay, shifts, keep)
-        state.update((begin, pickle.dumps(held)))
-        if sums is not None:
-            n = sums.shape[1]
-            yield pd.DataFrame(
-                {
-                    "beam": np.full(sums.size, key[0], np.int32),
-                    "dm_idx": np.repeat(np.arange(len(sums), dtype=np.int32), n),
-                    "dm": np.repeat(values, n),
-                    "t": np.tile(np.arange(first, first + n), len(sums)),
-                    "sum": sums.ravel().astype(np.int64),
-                }
-            )
+            add_spectra(begin, held, pdf["t"], pdf["v"])
+            while True:
+                first = begin
+                begin, sums = advance(begin, held, delay, shifts, keep, patience)
+                if sums is None:
+                    break
+                n = sums.shape[1]
+                yield pd.DataFrame(
+                    {
+                        "beam": np.full(sums.size, key[0], np.int32),
+                        "dm_idx": np.repeat(np.arange(len(sums), dtype=np.int32), n),
+                        "dm": np.repeat(values, n),
+                        "t": np.tile(np.arange(first, first + n), len(sums)),
+                        "sum": sums.ravel().astype(np.int64),
+                    }
+                )
+        state.update((begin, pack_state(held)))
 
     return wide.groupBy("beam").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -78,8 +109,7 @@ def stream_to_table(spark: SparkSession, path: str, spec: ObservationSpec, dms)
     """Run the files under ``path`` (vec_id, embedding) through the stream and give the table of its results."""
     from ..functions.numeric import flt, quantise
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkchirp-")
-    folder = f"{base.rstrip('/')}/sparkchirp-stream-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "stream")
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).parquet(path)
     wide = source.select(F.lit(0).alias("beam"), F.col("vec_id").alias("t"), F.transform("embedding", lambda e: quantise(e * flt(25.0) * flt(4.0))).alias("v"))

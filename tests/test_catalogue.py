@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sparkchirp.plans import catalogue
+from sparkchirp.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -25,18 +25,18 @@ def rows(frame):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.SQL)
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    got = rows(catalogue.QUERIES[name](spark, SF).toPandas())
-    want = rows(duck.execute(catalogue.SQL[name]).fetchdf())
+    got = rows(registry.QUERIES[name](spark, SF).toPandas())
+    want = rows(duck.execute(registry.SQL[name]).fetchdf())
     assert got == want
 
 
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
-    assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

@@ -46,6 +46,49 @@ def test_both_forms_equal_brute_force(wide, data):
     assert np.array_equal(np.concatenate([r.sums for r in arrays if r.dm_idx == 4]), want[4])
 
 
+def test_missing_spectra_are_zeros_and_repeated_ones_add_up_in_every_form(spark, data):
+    x = [(t, [int(v) for v in row]) for t, row in enumerate(data) if t not in (50, 51, 200)]
+    odd = spark.createDataFrame([*x, x[10], x[300]], "t long, v array<int>").repartition(3)
+    y = data.copy()
+    y[[50, 51, 200]] = 0
+    for t, row in (x[10], x[300]):
+        y[t] += row
+    want = brute(y, SPEC, DMS)
+    got = grid(timedomain.sums_relational(timedomain.to_long(odd), SPEC, DMS, N))
+    assert np.array_equal(np.nan_to_num(got), want) and np.argwhere(np.isnan(got)).tolist() == [[0, 50], [0, 51], [0, 200]]
+    assert np.array_equal(grid(timedomain.sums_blocks(odd, SPEC, DMS, N, gulp=97, dm_block=4)), want)
+    centred = (want - 127.5 * 16) / 16
+    good = want.shape[1]
+    assert np.allclose(grid(fourier.sums_fourier(odd, SPEC, DMS, N, segment=256), "value"), centred)
+    back = fourier.series_from_spectra(fourier.spectra_fourier(odd, SPEC, DMS, N, 1024, trial_block=2), 1024, good)
+    assert np.allclose(grid(back, "value"), centred)
+
+
+def test_fourier_range_and_limits(spark, wide, data):
+    plan = SearchPlan(spark, 16, 6.4e-3, 1581.0, -25.0, "fourier")
+    plan.set_dm_list(DMS)
+    got = plan.execute(wide, N, first_dm_idx=3, dm_count=2, segment=256)
+    assert sorted(r.dm_idx for r in got.select("dm_idx").distinct().collect()) == [3, 4]
+    assert np.allclose(grid(got, "value")[3:], (brute(data, SPEC, DMS)[3:5] - 127.5 * 16) / 16)
+    assert plan.execute(wide, N, first_dm_idx=9).count() == 0
+    with pytest.raises(SearchError):
+        plan.execute(wide, N, out_nbits=8)
+    with pytest.raises(ValueError, match="too long"):
+        fourier.sums_fourier(wide, SPEC, DMS, 1 << 27, segment=None)
+
+
+def test_measured_run(spark, wide):
+    plan = SearchPlan(spark, 16, 6.4e-3, 1581.0, -25.0)
+    plan.set_dm_list(DMS)
+    series, figures = plan.measure(wide, N)
+    assert series.count() == 9 * (N - plan.max_delay) and figures["seconds"] > 0 and figures["summing"] == (N - plan.max_delay) * 16 * 9 * 2.5
+
+
+def test_channel_major_in_blocks(wide, data):
+    rows = timedomain.channel_major(timedomain.to_long(wide), 150).collect()
+    assert len(rows) == 16 * 3 and all(np.array_equal(r.v, data[r.block * 150 : (r.block + 1) * 150, r.ch]) for r in rows)
+
+
 def test_close_trials_take_the_exchange_path():
     x = np.random.default_rng(2).integers(0, 9, (40, 90)).astype(np.int32)
     shifts = np.sort(np.random.default_rng(3).integers(0, 3, (12, 40)), axis=0)

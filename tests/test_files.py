@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkchirp.sources import benchlog, outputs, subints
-from sparkchirp.sources.filterbank import Header, header_bytes, parse_header, read_filterbank, read_header, read_raw, write_filterbank
+from sparkchirp.sources.filterbank import Header, header_bytes, parse_header, read_filterbank, read_header, read_raw, write_filterbank, write_raw
 from sparkchirp.spec import SearchError
 
 HEAD = Header(
@@ -63,6 +63,20 @@ def test_series_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 22
 
 
+def test_raw_files_and_recordings_round_trip(spark, tmp_path):
+    v = np.random.default_rng(5).integers(0, 16, (50, 8))
+    wide = spark.createDataFrame([(t, [int(x) for x in row]) for t, row in enumerate(v)], "t long, v array<long>").repartition(3)
+    parts = write_raw(wide, 4, str(tmp_path / "raw"), stride=7, samples=20).orderBy("part").collect()
+    back = [r.v for p in parts for r in read_raw(spark, p.path, 8, 4, stride=7).orderBy("t").collect()]
+    assert np.array_equal(back, v)
+    layout = subints.Layout(nchans=3, pols=1, spectra=4, rows=5, header=10, gap=5)
+    rows = [(i, [1.0, 2.0, 3.0], [float(i)] * 3, [0.5] * 3, bytes(range(12))) for i in range(5)]
+    table = spark.createDataFrame(rows, "subint int, wts array<float>, offs array<float>, scl array<float>, data binary").repartition(3)
+    assert subints.write_subints(table, str(tmp_path / "r" / "rec.bin"), layout).first().rows == 5
+    got = subints.read_subints(spark, str(tmp_path / "r" / "rec.bin"), layout).orderBy("subint").collect()
+    assert [(r.subint, r.wts, r.offs, r.scl, bytes(r.data)) for r in got] == rows
+
+
 def test_subints(spark, tmp_path):
     layout = subints.Layout(nchans=3, pols=2, spectra=4, rows=2, header=10, gap=5)
     rng = np.random.default_rng(0)
@@ -83,6 +97,9 @@ def test_bench_log(spark, tmp_path):
     times = benchlog.timings(benchlog.read_logs(spark, str(tmp_path)))
     rows = {r.timing: r for r in benchlog.summary(times).collect()}
     assert (rows["Runtime"].n, rows["Runtime"].mean, rows["Runtime"].std) == (2, 2.0, 0.5) and rows["Total time"].mean is None
-    row = benchlog.mean_table(times).first()
-    assert row.sort_by == "GPU:tdd:1024:128" and row["Runtime"] == 2.0
+    table = benchlog.mean_table(times)
+    row = table.first()
+    assert row.sort_by == "GPU:tdd:1024:128" and row["Runtime"] == 2.0 and table.columns == ["test", "sort_by", *benchlog.LABELS]
+    other = spark.createDataFrame([("t", "Some other time : 1.0 sec.")], "test string, line string")
+    assert benchlog.timings(other).count() == 0
     benchlog.write_mean_table(times, str(tmp_path / "summary"))
