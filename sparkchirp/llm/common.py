@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import shared_path as new_path
+
 U64 = np.uint64
 
 
 # --------------------------------------------------------------------------- scratch tables
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where unset (tests), a folder made once."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sparkchirp.scratch", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="sparkchirp-")
-        spark.conf.set("spark.sparkchirp.scratch", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/sparkchirp-{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives executors."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives executors.
+
+    The table stays until ``clear_scratch`` of ``plans.shipping`` is called.
+    """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -249,23 +238,21 @@ class ChunkMemo:
     def packed(self, cut: list[str]) -> list[bytes]:
         """Packed ids of texts that are cut into chunks by NUL characters."""
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
-        coded = lists.values.dictionary_encode()
-        values = self.lookup(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.kind).itemsize
-        start = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(values), self.kind)
-        index, bounds = np.asarray(coded.indices), np.asarray(lists.offsets)
+        return self.packed_chunks(lists.values, np.asarray(lists.offsets))
+
+    def packed_chunks(self, chunks: pa.Array, first: np.ndarray) -> list[bytes]:
+        """Packed ids of texts: text i is the chunks first[i] to first[i + 1] - 1."""
+        coded = chunks.dictionary_encode()
+        values = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary())
         out: list[bytes] = []
-        a = 0
-        while a < len(cut):  # a million chunks at a time
-            b = min(len(cut), max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1))
-            part = index[bounds[a] : bounds[b]]
-            each = size[part]
-            ends = np.zeros(len(part) + 1, np.int64)
-            np.cumsum(each, out=ends[1:])
-            flat = pool[np.repeat(start[part] - ends[:-1], each) + np.arange(ends[-1])]
-            at = ends[bounds[a : b + 1] - bounds[a]].tolist()
-            out += [flat[p:q].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
+        a, texts = 0, len(first) - 1
+        while a < texts:  # a million chunks at a time
+            b = min(texts, max(a + 1, int(np.searchsorted(first, first[a] + (1 << 20), "right")) - 1))
+            part = values.take(coded.indices[int(first[a]) : int(first[b])])
+            ends = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1) if len(part) else np.zeros(1, np.int64)
+            data = memoryview(part.buffers()[2] or b"") if len(part) else memoryview(b"")
+            at = ends[first[a : b + 1] - first[a]].tolist()
+            out += [bytes(data[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
             a = b
         return out
 

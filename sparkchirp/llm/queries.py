@@ -18,6 +18,10 @@ from .threshold import quantised, top_k
 from .toxicity import score, train
 
 
+#: Sources are mixed by the square root of their tokens; where the small ones end, the others keep their proportions.
+TEMPER = 0.5
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -68,7 +72,7 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     tokens = tokenise(docs, vocabulary("word_bpe_49k.json"), 1)
-    return pack(tokens).withColumnRenamed("id", "doc_id")
+    return pack(tokens, temper=TEMPER).withColumnRenamed("id", "doc_id")
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

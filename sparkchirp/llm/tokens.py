@@ -14,6 +14,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 from .common import ChunkMemo
 
@@ -24,6 +25,8 @@ _RUNS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 
 #: Characters whose lower case depends on nothing around them and survives composition.
 _LATIN = re.compile("[^\x01-\u024f]").search
+#: Characters that no pre-tokenizer joins a full stop or comma to.
+_PLAIN = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _JOIN = 64  # chunks encoded in one call
 _JOIN_LETTERS = 512  # of letters alone
 
@@ -121,7 +124,7 @@ class Encoder:
         """Case folded where that is safe (the string of an added token may not come of it), and a full stop or comma after a letter apart."""
         if self.folds_case and not word.islower() and not _LATIN(word):
             small = word.lower()
-            if not any(s in small for s in self.special):
+            if word.isalpha() or not any(s in small for s in self.special):
                 word = small
         if len(word) > 1 and word[-1] in ".," and ends_in_letter(word[:-1]):
             return word[:-1], word[-1]
@@ -134,27 +137,48 @@ class Encoder:
             return chunk[:-1], chunk[-1]
         return (chunk,)
 
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(chunks of all texts, where each text's begin): cut before white space and before a full stop or comma that ends a
+        word; without the white space where the vocabulary drops it."""
+        column = pa.array(texts, pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1)
+        data = np.frombuffer(column.buffers()[2], np.uint8, int(offsets[-1])) if offsets[-1] else np.zeros(0, np.uint8)
+        space = (data == 32) | (data == 10)
+        ends = np.append(space[1:], True)
+        ends[offsets[1:][offsets[1:] > 0] - 1] = True
+        cut = (data == 46) | (data == 44)
+        cut &= ends
+        cut[1:] &= _PLAIN[data[:-1]]
+        cut |= space
+        if self.drops_space:
+            cut[1:] |= space[:-1]
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begin = np.flatnonzero(cut)
+        first = np.searchsorted(begin, offsets)
+        chunks = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data))
+        if self.drops_space:
+            keep = ~space[begin]
+            first = np.append(0, np.cumsum(keep))[first]
+            chunks = chunks.filter(pa.array(keep))
+        return chunks, first
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, in order."""
         cut: list[str] = []
         ways = []  # of every text: 0 cut, 1 cut by a pattern, 2 whole
         runs, whole = [], []
         for x in texts:
-            if _ODD(x) or any(s in x for s in self.special):
+            small = x.lower() if self.folds_case and x.isascii() else x  # once for all words
+            if _ODD(x) or any(s in x or s in small for s in self.special):
                 ways.append(2)
                 whole.append(x)
-            elif self.drops_space:
-                ways.append(0)
-                cut.append(x.replace("\n", " ").replace(" ", "\x00"))
+            elif not self.drops_space and ("   " in (flat := x.replace("\n", " ")) or flat.endswith("  ")):
+                ways.append(1)
+                runs.append(_RUNS(x))
             else:
-                flat = x.replace("\n", " ")
-                if "   " in flat or flat.endswith("  "):
-                    ways.append(1)
-                    runs.append(_RUNS(x))
-                else:
-                    ways.append(0)
-                    cut.append(x.replace(" ", "\x00 ").replace("\n", "\x00\n"))
-        done = [iter(self.memo.packed(cut)), iter(self.memo.packed_lists(runs)), iter(self._library(whole))]
+                ways.append(0)
+                cut.append(small)
+        done = [iter(self.memo.packed_chunks(*self._cut(cut))), iter(self.memo.packed_lists(runs)), iter(self._library(whole))]
         return [next(done[w]) for w in ways]
 
 

@@ -94,6 +94,9 @@ def test_round_trip_frame(spark):
     for i, t in enumerate(TEXTS):
         ids = m.encode(t or "")
         assert bytes(got[i].ids) == np.array(ids, "<u4").tobytes() and got[i].decoded == m.decode(ids)
+    odd = spark.createDataFrame([(None, "the end", 1), (None, None, 2), (7, "of " * 60_000, 3)], "doc_id long, text string, id int")
+    got_odd = pieces.round_trip(odd, MODEL, texts=True).collect()
+    assert sorted((r.id is None, r.decoded) for r in got_odd) == [(False, "of " * 60_000), (True, ""), (True, "the end")]
     digest = pieces.round_trip(docs, MODEL).where("id = 2").first()
     assert digest.ids_sha256 == hashlib.sha256(bytes(got[2].ids)).hexdigest()
     assert pieces.round_trip(docs.limit(0), MODEL).count() == 0
