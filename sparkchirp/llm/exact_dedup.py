@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fan_out, materialise, safe_name, text_size
+from .common import fan_out, materialise, safe_name
 
 PREFIX = 32
 BROADCAST_ROWS = 100_000  # about 5 MB of (digest, count) rows
@@ -52,15 +52,18 @@ def duplicate_groups(
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]) if carry != [] else F.struct(F.lit(0).alias("_"))
     base = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), key.alias("key"))
 
-    _, size = text_size(docs, f"`{text_col}`")
-    copies = base.groupBy(F.xxhash64("key").alias("digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    copies = materialise(copies, "hot-texts")
+    # one pass over the texts: copies of each text that has many, and in the row without a digest the bytes of all
+    found = base.select(F.xxhash64("key").alias("digest"), F.octet_length("key").cast("long").alias("size"))
+    found = found.rollup("digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    found = materialise(found.where((F.col("n") > hot) | F.col("digest").isNull()), "hot-texts")
+    size = found.where("digest is null").agg(F.max("size")).first()[0] or 0
+    copies = found.where("digest is not null").select("digest", "n")
     n_hot = copies.count()
     if n_hot:
         few = n_hot <= BROADCAST_ROWS
         base = base.withColumn("digest", F.xxhash64("key")).join(F.broadcast(copies) if few else copies, "digest", "left")
         salts = F.ceil(F.col("n") / F.lit(hot))
-        base = base.withColumn("salt", F.when(F.col("n").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("id"), salts)))
+        base = base.withColumn("salt", F.when(F.col("n").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("id", "row"), salts)))
     else:
         base = base.withColumn("digest", F.xxhash64("key")).withColumn("salt", F.lit(-1).cast("long"))
 
@@ -85,10 +88,11 @@ def duplicate_groups(
     if not n_hot:
         return runs.select(*done)
     runs = materialise(runs, "text-runs")
+    winner = F.min_by("salt", F.struct(F.col("best").isNull(), "best", "salt")) if keep == "smallest" else F.max_by("salt", F.struct("best", "salt"))
     totals = (
         runs.where((F.col("salt") >= 0) & (F.col("place") == 1))
         .groupBy("text_sha256")
-        .agg(F.sum("n").alias("all_n"), best_of("best").alias("all_best"))
+        .agg(F.sum("n").alias("all_n"), best_of("best").alias("all_best"), winner.alias("all_salt"))
     )
     few = n_hot <= BROADCAST_ROWS
     hot_rows = runs.where(F.col("salt") >= 0).join(F.broadcast(totals) if few else totals, "text_sha256")
@@ -99,7 +103,7 @@ def duplicate_groups(
             "id",
             F.col("all_best").alias("keep_id"),
             F.col("all_n").alias("group_size"),
-            ((F.col("place") == 1) & F.col("best").eqNullSafe(F.col("all_best"))).alias("kept"),
+            ((F.col("place") == 1) & (F.col("salt") == F.col("all_salt"))).alias("kept"),
             "text_sha256",
         )
     )

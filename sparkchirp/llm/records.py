@@ -33,6 +33,7 @@ from .tokens import encoder
 
 MAGIC = b"SCTI0001"
 MASK = 0xA282EAD8
+BATCH = 4096  # records a batch of what is read
 MANIFEST = "shard int, path string, records long, tokens long, bytes long"
 
 
@@ -139,8 +140,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
     return materialise(ranged.mapInArrow(tidied(work), MANIFEST), "token-manifest")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every record, read from the files of a manifest; start counts all tokens before it.
+def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32[, ids]) of every record, read from the files of a manifest; start counts all tokens
+    before it, ids are little-endian unsigned 32-bit integers.
 
     The manifest has one row a file, so the running sum over it is small.
     """
@@ -148,21 +150,29 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     files = manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
     files = files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
+    schema = "id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def work(batches):
         for batch in batches:
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader = RecordReader(path)
                 kind = f"<u{reader.width}"
-                keys, starts, crcs = [], at + np.cumsum(reader.counts).astype(np.int64) - reader.counts.astype(np.int64), []
-                for key, ids in reader.records():
+                counts = reader.counts.astype(np.int64)
+                starts = at + np.cumsum(counts) - counts
+                keys, crcs, kept, begin = [], [], [], 0
+                for i, (key, ids) in enumerate(reader.records()):
+                    wide = np.frombuffer(ids, kind).astype("<u4")
                     keys.append(key)
-                    crcs.append(zlib.crc32(np.frombuffer(ids, kind).astype("<u4")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(reader.counts.astype(np.int64)), pa.array(crcs, pa.int64())],
-                    names=["id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return files.mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
+                    crcs.append(zlib.crc32(wide))
+                    if with_ids:
+                        kept.append(wide.tobytes())
+                    if i + 1 == len(reader) or len(keys) == BATCH:
+                        cols = [pa.array(keys, pa.int64()), pa.array(starts[begin : i + 1]), pa.array(counts[begin : i + 1]), pa.array(crcs, pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary())] if with_ids else [])], names=names)
+                        keys, crcs, kept, begin = [], [], [], i + 1
+
+    return files.mapInArrow(work, schema)
 
 
 def token_folder(spark) -> str:

@@ -5,8 +5,13 @@ which shard holds which slot.  Only the map is edited when shards are added or r
 changes its slot.  The map has as many entries as slots (a fixed number), so the greedy assignment runs on
 the driver and the map is broadcast.
 
+The record is the unit that is placed: a slot hashes id and text together, so a group of equal texts, which may hold a
+third of all rows, spreads over slots and shards like any other rows.  Keeping such a group in one shard is not a law
+here; shards of near equal size could not be had with it.
+
 Defined cases: null text has no bytes; null ids hash like any value; rows that repeat are separate records;
-an empty table gives an empty result and a map of empty slots; other columns may have any names.
+records with equal id and text have places in an order that does not matter; texts of any length count whole; an empty
+table gives an empty result and a map of empty slots; other columns may have any names.
 """
 
 from __future__ import annotations

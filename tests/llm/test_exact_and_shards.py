@@ -1,6 +1,8 @@
 import hashlib
+import struct
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkchirp.llm.exact_dedup import duplicate_groups, exact_dedup
@@ -64,6 +66,37 @@ def test_shards(spark):
     assert len({(r.vslot, r.shard) for r in got}) == len({r.vslot for r in got})
 
 
+def test_shards_equal_brute_force(spark):
+    """Slots, map and places computed again; hot copies, clashing names, a very long text."""
+    rows = [(i, "same" if i % 3 else "t" * (i % 77), i, "x") for i in range(600)] + [(None, None, 1, "y"), (9000, "z " * 400_000, 2, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, vslot string").repartition(3)
+    got = shard(docs, 5, slots=64).collect()
+
+    def slot(i, crc):
+        h = 42
+        for x in (i, crc):
+            if x is not None:
+                h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return (h - (1 << 64) if h >> 63 else h) % 64
+
+    records = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _, _ in rows]
+    held = {}
+    for r in records:
+        held.setdefault(slot(r[0], r[2]), []).append(r)
+    load, filled, want = [0] * 5, [0] * 5, {}
+    weights = {v: sum(r[1] for r in x) for v, x in held.items()}
+    for v in sorted(range(64), key=lambda v: (-weights.get(v, 0), v)):
+        s = min(range(5), key=lambda k: (load[k], k))
+        load[s] += weights.get(v, 0)
+        want[v] = s
+    place = {}
+    for v in range(64):
+        for r in sorted(held.get(v, []), key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+            place[r[0]] = (r[1], r[2], v, want[v], filled[want[v]])
+            filled[want[v]] += 1
+    assert {r.id: (r["size"], r.text_crc32, r.vslot, r.shard, r.place) for r in got} == place and len(got) == len(rows)
+
+
 def test_growing_moves_slots_only_to_the_new_shard(spark, tmp_path):
     docs = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 50).cast("int")).alias("text"))
     weights, rows = slot_weights(with_slots(docs, slots=512), 512)

@@ -94,6 +94,18 @@ def test_split_clusters_lose_no_link(spark):
         same_classes(neardup.near_duplicates(docs, block=block).collect(), rows, want)
 
 
+def test_very_long_texts_and_repeats(spark):
+    """Long texts are compared whole; texts with the same shingles but other numbers of repeats stay candidates."""
+    long = [f"w{i * 7919 % 60_013}" for i in range(50_000)]
+    late = long[:40_000] + [f"x{i}" for i in range(10_000)]  # 40,000 of 60,000 shingles in common
+    near = long[:-500] + [f"y{i}" for i in range(500)]
+    loop = [f"l{i}" for i in range(30)]
+    rows = list(enumerate([" ".join(x) for x in (long, late, near, loop * 2, loop * 40, loop * 3 + ["end"])]))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, node int")
+    got = {r.id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == dict(zip(range(6), brute(rows), strict=True)) == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(none).count() == 0 and neardup.near_dedup(none).count() == 0
