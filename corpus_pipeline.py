@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkchirp.llm.common import load, materialise
+from sparkchirp.llm.common import load
 from sparkchirp.llm.exact_dedup import exact_dedup
 from sparkchirp.llm.neardup import near_dedup
 from sparkchirp.llm.packing import pack, tokenise
-from sparkchirp.llm.queries import vocabulary
+from sparkchirp.llm.queries import TEMPER, vocabulary
 from sparkchirp.llm.substrings import without_repeats
 from sparkchirp.llm.toxicity import drop_toxic, train
-from sparkchirp.plans.shipping import ship
+from sparkchirp.plans.shipping import clear_scratch, scratch_paths, shared_path, ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of sequences of 2048 tokens, sources mixed by their share."""
+    """All documents as pieces of sequences of 2048 tokens, sources mixed by the square root of their tokens."""
     ship(spark)
-    return pack(tokenise(docs, vocabulary("word_bpe_49k.json"), 1, remember=250_000, block_chars=1 << 21)).withColumnRenamed("id", "doc_id")
+    tokens = tokenise(docs, vocabulary("word_bpe_49k.json"), 1, remember=250_000, block_chars=1 << 21)
+    return pack(tokens, temper=TEMPER).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -63,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``.  What a stage left in the shared folder goes once its result is
+    written, and that result once the next one is; the last stage's tables stay for the reader of its lazy result."""
+    docs, others = load(spark, sf_dir, "documents"), scratch_paths(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        clear_scratch(spark, keep=[*others, path])
     return STAGES[-1][1](spark, docs, sf_dir)
