@@ -287,6 +287,14 @@ def row_slices(column: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python at most 8 MB of rows at a time (where its own bound is still the default)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, str(8 << 20))
+    return df
+
+
 def tidy() -> None:
     """Give memory that Python has freed back to the system: workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()

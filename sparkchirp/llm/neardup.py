@@ -13,8 +13,9 @@ shingles stop being candidates.  Similarity itself is that of shingle sets, chec
 3. Each cluster is checked on its whole shingle sets: starting anywhere, texts of similarity ``least`` or more
    are reached step by step, each compared only with texts not reached yet; no pairs are listed.
    Clusters of more than ``block`` texts are split: every block also gets the cluster's pivots, whose
-   components are joined up, and texts outside the largest component are then compared with every block.
-   What remains uncompared lies within one component already, so no link between classes is lost.
+   components are joined up.  Texts outside the largest component are then, in chunks, compared with all texts that share
+   a bucket with one of the chunk, in parts of ``block``: no candidate pair that could join two classes is lost, and a
+   cluster that only hangs together by chance costs as much as its buckets, not the square of its size.
 4. A class is a component of verified links, named by its smallest id.
 
 With 25 bands of 5 rows a pair of similarity 0.8 shares no band with probability 5e-5, one of 0.9 with 2e-10, where
@@ -35,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, row_slices, text_size, tidied, tidied_group
+from .common import U64, Words, fan_out, gram_starts, grams, materialise, mix, row_slices, small_batches, text_size, tidied, tidied_group
 from .components import components
 
-BLOCK_BYTES = 3 << 20  # text that is signed at a time
+BLOCK_BYTES = 3 << 19  # text that is signed at a time
 REPEAT = 0.25  # how much more than one a shingle can weigh
 _STEP, _AIM, _BAND = U64(0x9E3779B97F4A7C15), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
@@ -194,7 +195,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))], names=["id", "sha", "bands"])
 
-    out = base.mapInArrow(tidied(work), f"id {kind}, sha binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    out = small_batches(base).mapInArrow(tidied(work), f"id {kind}, sha binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
     return materialise(out, "signatures")
 
 
@@ -280,14 +281,18 @@ def near_duplicates(
         counts = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         rest = materialise(rooted.join(main, "cluster").where("root <> main").select("node", "cluster"), "rest")
-        over = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
         if rest.limit(1).count():
-            again = found.where("blocks > 1").join(over, "cluster")
-            many = 1 << 20  # parts are numbered block * many + chunk
-            chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-            whole = again.select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), own.alias("k"), "node", "text")
-            asked = again.join(rest.select("node"), "node", "left_semi").select("cluster", chunk.alias("c"), F.explode(every).alias("k"), "node", "text")
-            second = whole.unionByName(asked).select("cluster", (F.col("k").cast("long") * many + F.col("c")).alias("part"), "node", "text")
+            chunks = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+            asked = rest.join(chunks, "cluster").select("cluster", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("c"))
+            # the texts that share a bucket with any text of a chunk, in parts of ``block``
+            keyed = big.join(texts.select("node", "bands"), "node").select("cluster", "node", F.explode("bands").alias("key"))
+            wanted = keyed.join(asked.select("node", "c"), "node").select("cluster", "key", "c").distinct()
+            met = materialise(keyed.join(wanted, ["cluster", "key"]).select("cluster", "c", "node").distinct(), "met")
+            parts_of = met.groupBy("cluster", "c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+            whole = met.join(parts_of, ["cluster", "c"]).select("cluster", "c", F.pmod(F.xxhash64("node"), F.col("parts")).alias("k"), "node")
+            asked = asked.join(parts_of, ["cluster", "c"]).select("cluster", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("k"), "node")
+            again = whole.unionByName(asked).select("node", (F.col("k") * (1 << 31) + F.col("c")).alias("part"))
+            second = found.where("blocks > 1").select("cluster", "node", "text").join(again, "node").select("cluster", "part", "node", "text")
             links = links.unionByName(materialise(_links(second, parts, width, least), "links-again"))
         roots = components(links.select("a", "b"))
     else:

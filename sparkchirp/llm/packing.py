@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fan_out, materialise, text_blocks, tidied
+from .common import fan_out, materialise, small_batches, text_blocks, tidied
 from .tokens import encoder
 
 GRAIN = 16  # tokens
@@ -61,7 +61,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), n, pa.array([enc.width] * (b - a), pa.int32()), pa.array(ids, pa.binary())], names=schema.names
                 )
 
-    return materialise(rows.mapInArrow(tidied(work), schema).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    return materialise(small_batches(rows).mapInArrow(tidied(work), schema).withColumn("row", F.monotonically_increasing_id()), "token-ids")
 
 
 def running(df: DataFrame, order: list[str], amount: str, out: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import ChunkMemo, text_blocks, tidied
+from .common import ChunkMemo, small_batches, text_blocks, tidied
 
 MARK = "▁"
 _NONE = -1
@@ -300,4 +300,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     ]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *cols], names=[f.name for f in schema])
 
-    return rows.mapInArrow(tidied(work), schema)
+    return small_batches(rows).mapInArrow(tidied(work), schema)

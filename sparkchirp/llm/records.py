@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fan_out, materialise, new_path, text_blocks, text_size, tidied
+from .common import fan_out, materialise, new_path, small_batches, text_blocks, text_size, tidied
 from .tokens import encoder
 
 MAGIC = b"SCTI0001"
@@ -137,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
             cols = [[shard], [path], [len(out.counts)], [sum(out.counts)], [out.at]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "records", "tokens", "bytes"])
 
-    return materialise(ranged.mapInArrow(tidied(work), MANIFEST), "token-manifest")
+    return materialise(small_batches(ranged).mapInArrow(tidied(work), MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:

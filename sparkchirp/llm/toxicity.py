@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, materialise, mix, row_slices, tidied
+from .common import ALNUM, Words, materialise, mix, row_slices, small_batches, tidied
 
 SAMPLE_ROWS = 12_000
 
@@ -199,7 +199,7 @@ def train(
                 least = pa.array([least_hashes(x).tobytes() for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), least], names=["id", "h", "grade", "words", "least"])
 
-    found = rows.mapInArrow(tidied(distinct), "id long, h long, grade int, words array<bigint>, least binary")
+    found = small_batches(rows).mapInArrow(tidied(distinct), "id long, h long, grade int, words array<bigint>, least binary")
     # several rows of a labelled id are rare: the bound holds for rows, not only for ids
     found = materialise(found.dropDuplicates(["id", "h"]).orderBy(F.xxhash64("id"), "id", "h").limit(sample_rows), "labelled-sample")
 
@@ -225,20 +225,24 @@ def train(
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", carry: list[str] | None = None, reject_at: float = 0.5) -> DataFrame:
     """The carried columns (default: all, in a struct ``row``) with severity, p_toxic, grade and rejected (p_toxic >= reject_at)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    carry = docs.columns if carry is None else carry
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    # a carried text travels once
+    inside = carry.index(text_col) if text_col in carry and docs.schema[text_col].dataType == T.StringType() else None
+    rows = docs.select(row) if inside is not None else docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
     more = [("severity", T.DoubleType()), ("p_toxic", T.DoubleType()), ("grade", T.IntegerType()), ("rejected", T.BooleanType())]
     schema = T.StructType([rows.schema["row"], *[T.StructField(n, t) for n, t in more]])
 
     def work(batches):
         for batch in batches:
-            parts = [model.severity(batch.column(1).slice(a, b - a)) for a, b in row_slices(batch.column(1))]
+            text = batch.column(1) if inside is None else batch.column(0).field(inside)
+            parts = [model.severity(text.slice(a, b - a)) for a, b in row_slices(text)]
             if not parts:
                 continue
             severity, p, grade = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(p), pa.array(grade.astype(np.int32)), pa.array(p >= reject_at)], names=schema.names)
 
-    return rows.mapInArrow(tidied(work), schema)
+    return small_batches(rows).mapInArrow(tidied(work), schema)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
