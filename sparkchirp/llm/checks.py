@@ -41,7 +41,7 @@ def check_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the automaton, to four decimals."""
-    return op6_backoff_automaton(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
+    return op6_backoff_automaton(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("base_score", "score")}).drop("left_out_score", "left_out_mean")
 
 
 def check_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,8 @@ SQL = {
                 lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) % 7 <> 2 AS learn, text
             FROM documents
         ), d AS (
-            SELECT doc_id, learn, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^ 	-]+'), '') AS ws FROM crc
+            SELECT doc_id, learn, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^ 	-
+]+'), '') AS ws FROM crc
         ), tok AS (
             SELECT doc_id, learn, ws[i] AS w, CASE WHEN i = 1 THEN ' ' ELSE ws[i - 1] END AS a, CASE WHEN i = 1 THEN NULL WHEN i = 2 THEN ' ' ELSE ws[i - 2] END AS b
             FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM d)

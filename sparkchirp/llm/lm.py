@@ -179,8 +179,32 @@ class BackoffAutomaton:
         return total
 
 
+def left_out(grams: Grams, counts: list[np.ndarray], tokens: int, types: int, strength: list[float]) -> np.ndarray:
+    """Scores of training texts by the model without the counts of the text itself."""
+    begin, lengths = grams.first[:-1], np.diff(grams.first)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    p = before = None
+    for m, (c, at) in enumerate(zip(counts, grams.at, strict=True)):
+        here = np.flatnonzero(at >= 0)
+        pair, number, own = np.unique(text[here] * len(c) + at[here], return_inverse=True, return_counts=True)
+        rest = c[pair % len(c)] - own  # of each n-gram of each text
+        left = np.zeros(len(at), np.int64)
+        left[here] = rest[number]
+        if m == 0:
+            words = types - np.bincount(pair[rest == 0] // len(c), minlength=len(lengths))
+            p = (left + 1.0) / np.repeat(tokens - lengths + words + 1.0, lengths)
+        else:
+            context = np.append(0, before[:-1])  # what is left of the n-gram that ends one token earlier
+            if m == 1:
+                context[begin] = counts[0][-1] - 1
+            known = (at >= 0) & (context > 0)
+            p = np.where(known, (left + strength[m - 1] * p) / (context + strength[m - 1]), p)
+        before = left
+    return np.add.reduceat(np.log10(p), begin)
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """(row, train, n_tokens, n_known, train_tokens, base_score, score) of every document.
+    """(row, train, n_tokens, n_known, train_tokens, base_score, score, left_out_score, left_out_mean) of every document.
 
     ``train`` says of each row whether the model learns from it; ``row`` is the struct of the carried columns.
     """
@@ -216,24 +240,39 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return pa.concat_tables([got.answers(table), own], promote_options="default")
 
     answers = dealt.to_groups(sent.groupBy("bucket").applyInArrow(tidied_group(answer), f"{ANSWER}, figures array<bigint>"))
-    figures = answers.where("figures is not null").agg(F.array(*[F.coalesce(F.sum(F.col("figures")[i]), F.lit(0)) for i in range(2 * order)]).alias("corpus"))
-    rows = rows.crossJoin(F.broadcast(figures))  # one row: the figures reach each group with its documents
-    answers = answers.where("totals is not null").select("g", "bucket", "totals")
-    more = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+
+    def add_up(batches):
+        """The figures of a task's rows.  It takes the answers as they are, so that they are computed and sent once."""
+        total = np.zeros(2 * order, np.int64)
+        for batch in batches:
+            own = batch.column("figures").drop_null()
+            total += np.asarray(own.flatten()).reshape(len(own), 2 * order).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], names=[f"f{i}" for i in range(2 * order)])
+
+    sums = answers.mapInArrow(add_up, ", ".join(f"f{i} long" for i in range(2 * order)))
+    sums = sums.agg(F.array(*[F.coalesce(F.sum(f"f{i}"), F.lit(0)) for i in range(2 * order)]).alias("corpus"))
+    rows = rows.crossJoin(F.broadcast(sums))  # one row: the figures reach each group with its documents
+    more = [("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType())]
+    more += [(x, T.DoubleType()) for x in ("score", "left_out_score", "left_out_mean")]
     schema = T.StructType([rows.schema["row"], *[T.StructField(n, t) for n, t in more]])
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            kinds = [table.schema.field("row").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            kinds = [table.schema.field("row").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 4]
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
         table = ordered(table)
-        grams, sets, _ = asked(table)
+        grams, sets, learn = asked(table)
         tokens, types, *seen = table.column("corpus")[0].as_py()
-        counts = totals(sets, zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True))
+        replies = zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True)
+        counts = totals(sets, ((b, x) for b, x in replies if x is not None))
         del sets, replies
-        automaton = BackoffAutomaton(grams, counts, tokens, types, [concentration(*seen[i : i + 2]) for i in range(0, len(seen), 2)])
+        strength = [concentration(*seen[i : i + 2]) for i in range(0, len(seen), 2)]
+        automaton = BackoffAutomaton(grams, counts, tokens, types, strength)
         begin, word = grams.first[:-1], grams.at[0]
-        scores = [automaton.score(word[a:b].tolist()) for a, b in zip(begin.tolist(), grams.first[1:].tolist(), strict=True)]
+        scores = np.array([automaton.score(word[a:b].tolist()) for a, b in zip(begin.tolist(), grams.first[1:].tolist(), strict=True)])
+        base = automaton.base
+        del automaton
+        fresh = left_out(grams, counts, tokens, types, strength) if learn else scores
         return pa.table(
             [
                 table.column("row").combine_chunks(),
@@ -241,8 +280,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 pa.array(np.diff(grams.first)),
                 pa.array(np.add.reduceat((counts[0] > 0)[word].astype(np.int64), begin)),
                 pa.array(np.full(len(begin), tokens)),
-                pa.array(np.add.reduceat(automaton.base[word], begin)),
-                pa.array(scores, pa.float64()),
+                pa.array(np.add.reduceat(base[word], begin)),
+                pa.array(scores),
+                pa.array(fresh),
+                pa.array(fresh / np.diff(grams.first)),
             ],
             names=schema.names,
         )

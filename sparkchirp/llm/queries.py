@@ -61,7 +61,7 @@ def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     mark = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return score_texts(docs, mark % 7 != 2, carry=["doc_id"]).select(
-        "row.doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "row.doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "left_out_score", "left_out_mean"
     )
 
 

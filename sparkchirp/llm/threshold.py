@@ -10,7 +10,7 @@ are then merged by query.
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a
 null id; shorter vectors count as padded with zeros; ties go to the smaller id; a row that repeats with the same
 vector counts once, other vectors of the same id are ranked too; a query's candidates are the rows of other ids;
-fewer candidates than k give fewer rows.
+fewer candidates than k give fewer rows.  Ids are read as 64-bit integers, others stop with a cast error.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-CANDIDATES, QUERIES = 16_384, 2_048
+CANDIDATES, QUERIES = 16_384, 16_384
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 256.0) -> DataFrame:
@@ -42,6 +42,7 @@ class Block:
         self.ids, self.rows = ids[order], np.ascontiguousarray(matrix[order])
         self.lists = np.ascontiguousarray(np.argsort(self.rows, axis=0, kind="stable").T)  # by dimension, ascending
         self.values = np.take_along_axis(self.rows, self.lists.T, axis=0).T
+        self.scored = 0  # vectors scored by all queries so far: what stopping early saves
 
     def top(self, query: np.ndarray, own: int, k: int, first: int = 16) -> list[tuple[int, int]]:
         """The k best (score, id) but rows of id ``own``; ties to the smaller id."""
@@ -63,6 +64,7 @@ class Block:
             fresh &= ~seen
             seen |= fresh
             new = np.flatnonzero(fresh)
+            self.scored += len(new)
             new = new[self.ids[new] != own]
             if len(new):
                 s = self.rows[new] @ query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkchirp.llm import lm, toxicity
 from sparkchirp.llm.exchange import pack_counts, pack_keys, unpack_counts, unpack_keys
-from sparkchirp.llm.threshold import quantised, top_k
+from sparkchirp.llm.threshold import Block, quantised, top_k
 
 
 def texts(seed, n=120):
@@ -19,8 +19,9 @@ def texts(seed, n=120):
     return [" \n".join(word() for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(n)] + [None, "", "\t", "Zz zz"]
 
 
-def brute(rows, order):
-    """(tokens, known, N, base, score) of texts, from counts of tuples; the begin of a text is the token 1, its end 0."""
+def brute(rows, order, strength=None):
+    """(tokens, known, N, base, score) of texts, from counts of tuples; the begin of a text is the token 1, its end 0.
+    ``strength``: K by order, where not that of these counts."""
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     words = [(t, [1, *(x or "").encode().translate(lower).split(), 0]) for x, t in rows]
     count, begins = Counter(), sum(t for t, _ in words)
@@ -30,7 +31,7 @@ def brute(rows, order):
                 for m in range(1, min(order, i + 1) + 1):
                     count[tuple(v[i - m + 1 : i + 1])] += 1
     total, types = sum(n for k, n in count.items() if len(k) == 1), sum(len(k) == 1 for k in count)
-    once, twice = (Counter(len(k) for k, n in count.items() if n == x) for x in (1, 2))
+    strength = strength or brute_strength(count)
     out = []
     for _, v in words:
         base = score = 0.0
@@ -40,13 +41,24 @@ def brute(rows, order):
             for m in range(2, min(order, i + 1) + 1):
                 h = tuple(v[i - m + 1 : i])
                 c = begins if h == (1,) else count[h]
-                k = (once[m] + 1) / (2 * twice[m] + 1)
+                k = strength[m]
                 p = (count[(*h, v[i])] + k * p) / (c + k)
             score += math.log10(p)
         out.append((len(v) - 1, sum(count[x,] > 0 for x in v[1:]), total, base, score))
     return out
 
 
+def brute_strength(count):
+    once, twice = (Counter(len(k) for k, n in count.items() if n == x) for x in (1, 2))
+    return {m: (once[m] + 1) / (2 * twice[m] + 1) for m in (2, 3)}
+
+
+def ngrams(texts, order=3):
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    words = [[1, *(x or "").encode().translate(lower).split(), 0] for x in texts]
+    return Counter(tuple(v[i - m + 1 : i + 1]) for v in words for i in range(1, len(v)) for m in range(1, min(order, i + 1) + 1))
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_equal_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "GROUP_BYTES", 700)
@@ -64,6 +76,12 @@ def test_scores_equal_brute_force(spark, monkeypatch, order):
         r = found[i][0]
         assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (learn(i), n, known, total)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        if learn(i) and i % 5 == 0:  # the same model, but for this text
+            strength = brute_strength(ngrams([t for j, t, _ in [*rows, rows[3]] if learn(j)], order))
+            without = [(t, learn(j) and k != i) for k, (j, t, _) in enumerate([*rows, rows[3]])]
+            score = brute(without, order, strength)[i][4]
+        if not learn(i) or i % 5 == 0:
+            assert r.left_out_score == pytest.approx(score) and r.left_out_mean == pytest.approx(score / n)
 
 
 def test_counts_of_any_size_come_back():
@@ -232,6 +250,17 @@ def test_top_k_equals_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_stops_early():
+    rng = np.random.default_rng(4)
+    matrix = rng.normal(0, 1, (5000, 4))
+    block = Block(np.arange(5000), matrix)
+    for q in range(0, 5000, 500):
+        best = block.top(matrix[q], q, 5)
+        want = sorted(((-float(matrix[i] @ matrix[q]), i) for i in range(5000) if i != q))[:5]
+        assert [i for _, i in best] == [i for _, i in want]
+    assert block.scored < 0.5 * 10 * 5000
+
+
 def test_top_k_edges(spark):
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert top_k(quantised(one), F.lit(True)).count() == 0
