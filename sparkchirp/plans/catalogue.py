@@ -208,6 +208,7 @@ QUERIES = {
     "inf_header": inf_query,
     "bench_log_stats": benchlog.events_query,
     "stream_tdd": stream_query,
+    "stream_tdd_bands": lambda s, d: stream_to_table(s, f"{d}/embeddings.parquet*", SPEC, DMS, 5),
 }
 
 # --------------------------------------------------------------------------- SQL
@@ -365,4 +366,5 @@ SQL = {
             (21, '    Input filterbank samples have 8 bits.')) AS v(n, x)""",
     "bench_log_stats": benchlog.EVENTS_SQL,
     "stream_tdd": TS,
+    "stream_tdd_bands": TS,
 }

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.timedomain import block_sums
+from ..operators.timedomain import add_subbands, block_sums
 from ..plans.shipping import shared_path
 from ..spec import GULP_SIZE, ObservationSpec
 
-OUTPUT = "beam int, dm_idx int, dm float, t bigint, sum bigint"
+OUTPUT = "beam int, band int, dm_idx int, dm float, t bigint, sum bigint"
 STATE = "begin bigint, held binary"
 
 
@@ -69,25 +69,32 @@ def unpack_state(data: bytes) -> dict[int, np.ndarray]:
     return dict(zip(times.tolist(), rows, strict=True))
 
 
-def stream_sums(wide: DataFrame, spec: ObservationSpec, dms, patience: int | None = GULP_SIZE) -> DataFrame:
-    """(beam, dm_idx, dm, t, sum) of a stream of spectra (beam, t, v); spectra count from 0 in each beam."""
+def stream_sums(wide: DataFrame, spec: ObservationSpec, dms, patience: int | None = GULP_SIZE, bands: int = 1) -> DataFrame:
+    """(beam, band, dm_idx, dm, t, sum) of a stream of spectra (beam, t, v); spectra count from 0 in each beam.
+
+    Each of ``bands`` groups of channels is a state and a task of its own, with sums of its channels alone;
+    ``add_subbands`` adds them up where the results are read.
+    """
     delay, shifts, keep = spec.max_delay(dms), spec.shifts(dms), np.array(spec.killmask)
     values = np.asarray(dms, np.float32)
+    edges = [spec.nchans * b // bands for b in range(bands + 1)]
 
     def update(key, batches, state: GroupState):
         begin, held = state.get if state.exists else (0, None)
         held = unpack_state(bytes(held)) if held is not None else {}
+        own = slice(edges[key[1]], edges[key[1] + 1])
         for pdf in batches:
             add_spectra(begin, held, pdf["t"], pdf["v"])
             while True:
                 first = begin
-                begin, sums = advance(begin, held, delay, shifts, keep, patience)
+                begin, sums = advance(begin, held, delay, shifts[:, own], keep[own], patience)
                 if sums is None:
                     break
                 n = sums.shape[1]
                 yield pd.DataFrame(
                     {
                         "beam": np.full(sums.size, key[0], np.int32),
+                        "band": np.full(sums.size, key[1], np.int32),
                         "dm_idx": np.repeat(np.arange(len(sums), dtype=np.int32), n),
                         "dm": np.repeat(values, n),
                         "t": np.tile(np.arange(first, first + n), len(sums)),
@@ -96,7 +103,9 @@ def stream_sums(wide: DataFrame, spec: ObservationSpec, dms, patience: int | Non
                 )
         state.update((begin, pack_state(held)))
 
-    return wide.groupBy("beam").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    parts = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("v", edges[b] + 1, edges[b + 1] - edges[b]).alias("v")) for b in range(bands)])
+    rows = wide.select("beam", "t", F.explode(parts).alias("part")).select("beam", "t", "part.band", "part.v")
+    return rows.groupBy("beam", "band").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_decimation(samples: DataFrame, seconds: str, late: str) -> DataFrame:
@@ -105,7 +114,7 @@ def windowed_decimation(samples: DataFrame, seconds: str, late: str) -> DataFram
     return grouped.agg(F.floor(F.avg("v")).cast("int").alias("v")).select(F.col("window.start").alias("start"), "ch", "v")
 
 
-def stream_to_table(spark: SparkSession, path: str, spec: ObservationSpec, dms) -> DataFrame:
+def stream_to_table(spark: SparkSession, path: str, spec: ObservationSpec, dms, bands: int = 1) -> DataFrame:
     """Run the files under ``path`` (vec_id, embedding) through the stream and give the table of its results."""
     from ..functions.numeric import flt, quantise
 
@@ -114,7 +123,7 @@ def stream_to_table(spark: SparkSession, path: str, spec: ObservationSpec, dms)
     source = spark.readStream.schema(schema).parquet(path)
     wide = source.select(F.lit(0).alias("beam"), F.col("vec_id").alias("t"), F.transform("embedding", lambda e: quantise(e * flt(25.0) * flt(4.0))).alias("v"))
     query = (
-        stream_sums(wide, spec, dms)
+        stream_sums(wide, spec, dms, bands=bands)
         .writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/state")
@@ -123,4 +132,5 @@ def stream_to_table(spark: SparkSession, path: str, spec: ObservationSpec, dms)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/out").drop("beam")
+    out = spark.read.schema(OUTPUT).parquet(f"{folder}/out").drop("beam")
+    return out.drop("band") if bands == 1 else add_subbands(out)
