@@ -12,11 +12,16 @@ from ..operators.detect import throughput
 from ..spec import GULP_SIZE, IN_NBITS, OUT_NBITS, Code, Flag, ObservationSpec, SearchError, adaptive_dms, f32
 from .shipping import shared_path
 
-METHODS = ("relational", "time", "fourier")
+METHODS = ("relational", "time", "fourier", "auto")
+RELATIONAL_CELLS = 1 << 25  # samples times channels times trials that ``auto`` leaves to the relational form
 
 
 class SearchPlan:
-    """Holds what a search needs; ``execute`` gives a lazy DataFrame (dm_idx, dm, t, value)."""
+    """Holds what a search needs; ``execute`` gives a lazy DataFrame (dm_idx, dm, t, value).
+
+    ``method`` is ``relational`` (a row for each sample, channel and trial: short data), ``time`` (kernels on blocks),
+    ``auto`` (one of these two, by size) or ``fourier``.
+    """
 
     def __init__(self, spark: SparkSession, nchans: int, dt: float, f0: float, df: float, method: str = "time"):
         if method not in METHODS:
@@ -140,7 +145,8 @@ class SearchPlan:
             if out_nbits != 32:
                 raise SearchError(Code.UNSUPPORTED_OUT_NBITS)
             return fourier.sums_fourier(wide, self.spec, self.dms, nsamps, first=first_dm_idx, count=dm_count, **options)
-        if self.method == "relational":
+        cells = nsamps * self.spec.nchans * (len(self.dms) if dm_count is None else dm_count)
+        if self.method == "relational" or (self.method == "auto" and cells <= RELATIONAL_CELLS):
             sums = timedomain.sums_relational(timedomain.to_long(wide), self.spec, self.dms, nsamps, first_dm_idx, dm_count)
         else:
             sums = timedomain.sums_blocks(wide, self.spec, self.dms, nsamps, self._gulp, first=first_dm_idx, count=dm_count, **options)

@@ -164,6 +164,7 @@ QUERIES = {
     "plan_time_u16": executed("time", 16),
     "plan_time_f32_masked": executed("time", 32, KILLED),
     "plan_relational_u8": executed("relational", 8),
+    "plan_auto_f32": executed("auto", 32),
     "plan_time_range": executed("time", 32, None, first_dm_idx=5, dm_count=4),
     "plan_fourier_range": executed("fourier", 32, None, first_dm_idx=5, dm_count=4, segment=256),
     "plan_getters": getters,
@@ -199,6 +200,7 @@ SQL = {
     "plan_time_u16": plan_sql("65535"),
     "plan_time_f32_masked": plan_sql("1", "ch % 5 <> 3"),
     "plan_relational_u8": plan_sql("255"),
+    "plan_auto_f32": plan_sql("1"),
     "plan_time_range": plan_sql("1", where="WHERE dm_idx BETWEEN 5 AND 8"),
     "plan_fourier_range": f"WITH {sums_sql()} {FOURIER.format(dm='dm,', where='WHERE dm_idx BETWEEN 5 AND 8')}",
     "plan_getters": f"""

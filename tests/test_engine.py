@@ -77,6 +77,20 @@ def test_fourier_range_and_limits(spark, wide, data):
         fourier.sums_fourier(wide, SPEC, DMS, 1 << 27, segment=None)
 
 
+def test_auto_takes_either_form(spark, wide, data, monkeypatch):
+    from sparkchirp.plans import search
+
+    plan = SearchPlan(spark, 16, 6.4e-3, 1581.0, -25.0, "auto")
+    plan.set_dm_list(DMS)
+    seen = []
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(search, "RELATIONAL_CELLS", limit)
+        out = plan.execute(wide, N)
+        seen.append("FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString())
+        assert out.count() == 9 * (N - plan.max_delay)
+    assert seen == [True, False]
+
+
 def test_measured_run(spark, wide):
     plan = SearchPlan(spark, 16, 6.4e-3, 1581.0, -25.0)
     plan.set_dm_list(DMS)
