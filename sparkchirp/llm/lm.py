@@ -73,7 +73,7 @@ class Grams:
             order = np.argsort(seen)
             turn = np.empty_like(order)
             turn[order] = np.arange(len(order))
-            at = np.full(len(token), -1)
+            at = np.full(len(token), -1, np.int32)
             at[here] = turn[number]
             self.keys.append(keys[order])
             self.at.append(at)
@@ -107,56 +107,62 @@ class BackoffAutomaton:
         self.unseen = -math.log10(tokens + types + 1)
         base = (counts[0] + 1.0) / (tokens + types + 1.0)
         self.base = np.log10(base)
-        fail, fail_weight, size = [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        i4 = np.int32  # states, tokens and arcs of a group are counted in 32 bits
+        fail, fail_weight, size = [np.zeros(1, i4)], [np.zeros(1)], 1
         begin = self.tokens - 1
         # the state of every n-gram that is a context: seen in training, not the end of a text, shorter than the order
         state = []
         for m, c in enumerate(counts[:-1]):
             last = grams.at[0][grams.seen[m]] if m else np.arange(self.tokens)
             context = (c > 0) & (last != grams.end)
-            number = np.full(len(c), -1)
+            number = np.full(len(c), -1, i4)
             number[context] = size + np.arange(int(context.sum()))
             state.append(number)
             size += int(context.sum())
-            shorter = np.zeros(len(c), np.int64) if m == 0 else state[m - 1][grams.at[m - 1][grams.seen[m]]]
+            shorter = np.zeros(len(c), i4) if m == 0 else state[m - 1][grams.at[m - 1][grams.seen[m]]]
             fail.append(shorter[context])
             fail_weight.append(np.log10(strength[m] / (c[context] + strength[m])))
         source, token, weight, target = [], [], [], []
-        p = [base]
+        p = base
         for m, c in enumerate(counts):
             ends = grams.seen[m] if m else None
-            last = grams.at[0][ends] if m else np.arange(self.tokens)
+            last = grams.at[0][ends] if m else np.arange(self.tokens, dtype=i4)
             if m == 0:
-                origin = np.zeros(len(c), np.int64)
-                arc = (c > 0) & (np.arange(len(c)) != begin)
+                origin = np.zeros(len(c), i4)
+                arc = (c > 0) & (last != begin)
             else:
                 # the context before the last token: an n-gram one place earlier, or the begin mark
-                first = grams.place[ends] == 0
-                held = np.where(first, begin, grams.at[m - 1][ends - 1])
+                held = np.where(grams.place[ends] == 0, begin, grams.at[m - 1][ends - 1])
                 origin = state[m - 1][held]
                 k = strength[m - 1]
                 known = counts[m - 1][held]
-                lower = p[m - 1][grams.at[m - 1][ends]]
-                p.append(np.where(known > 0, (c + k * lower) / (known + k), lower))
+                lower = p[grams.at[m - 1][ends]]
+                p = np.where(known > 0, (c + k * lower) / (known + k), lower)
                 arc = (c > 0) & (origin >= 0)
+                del held, known, lower
             if m < len(state):
-                to = np.maximum(state[m], 0)
+                to = state[m][arc]
             else:
-                to = np.maximum(state[m - 1][grams.at[m - 1][ends]], 0) if m else np.zeros(len(c), np.int64)
+                to = state[m - 1][grams.at[m - 1][ends]][arc] if m else np.zeros(int(arc.sum()), i4)
             source.append(origin[arc])
             token.append(last[arc])
-            weight.append(np.log10(p[m][arc]))
-            target.append(to[arc])
+            weight.append(np.log10(p[arc]))
+            target.append(np.maximum(to, 0))
+        del p, origin, arc, to, last, state[1:]
         source, token = np.concatenate(source), np.concatenate(token)
-        number = np.arange(len(source))
-        first_arc = np.full(size, -1)
+        number = np.arange(len(source), dtype=i4)
+        first_arc = np.full(size, -1, i4)
         first_arc[source[::-1]] = number[::-1]
         other = np.flatnonzero(first_arc[source] != number)
-        self.arcs = dict(zip((source[other] * self.tokens + token[other]).tolist(), other.tolist(), strict=True))
-        self.first_arc = array("q", first_arc.tobytes())
-        self.first = array("q", np.where(first_arc < 0, -1, token[first_arc] if len(token) else -1).tobytes())
-        self.weight, self.target = array("d", np.concatenate(weight).tobytes()), array("q", np.concatenate(target).tobytes())
-        self.fail, self.fail_weight = array("q", np.concatenate(fail).tobytes()), array("d", np.concatenate(fail_weight).tobytes())
+        self.first_arc = array("i", first_arc.tobytes())
+        self.first = array("i", np.where(first_arc < 0, -1, token[first_arc] if len(token) else -1).astype(i4).tobytes())
+        self.arcs = {}
+        for i in range(0, len(other), 1 << 16):  # lists of numbers take several times the room of arrays
+            some = other[i : i + (1 << 16)]
+            self.arcs.update(zip((source[some] * np.int64(self.tokens) + token[some]).tolist(), some.tolist(), strict=True))
+        del source, token, other, first_arc, number
+        self.weight, self.target = array("d", np.concatenate(weight).tobytes()), array("i", np.concatenate(target).tobytes())
+        self.fail, self.fail_weight = array("i", np.concatenate(fail).tobytes()), array("d", np.concatenate(fail_weight).tobytes())
         self.start = max(0, int(state[0][begin])) if state else 0
 
     def score(self, text: list[int]) -> float:
@@ -262,6 +268,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
         table = ordered(table)
         grams, sets, learn = asked(table)
+        grams.keys = [k[:0] if m else k for m, k in enumerate(grams.keys)]  # the sets hold the others
         tokens, types, *seen = table.column("corpus")[0].as_py()
         replies = zip(replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True)
         counts = totals(sets, ((b, x) for b, x in replies if x is not None))
