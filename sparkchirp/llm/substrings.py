@@ -43,7 +43,7 @@ from .automaton import SuffixAutomaton, spans
 from .common import MOST_PARTS, U64, Words, gram_starts, grams, mix, pieces, tidied_group
 from .exchange import ANSWER, MESSAGE, Counted, Summed, deal, messages, ordered, totals
 
-GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 2 << 20, 32 << 20, 4 << 20
+GROUP_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 32 << 20, 4 << 20
 HOT = 256
 _PLACE = U64((1 << 28) - 1)  # words of a group are numbered in 28 bits
 
