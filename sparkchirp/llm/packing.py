@@ -64,10 +64,9 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     return materialise(small_batches(rows).mapInArrow(tidied(work), schema).withColumn("row", F.monotonically_increasing_id()), "token-ids")
 
 
-def running(df: DataFrame, order: list[str], amount: str, out: str, name: str) -> DataFrame:
-    """``df`` (whose rows differ in ``order``) with the sum of ``amount`` over all rows before in that order."""
-    spark = df.sparkSession
-    parts = fan_out(spark, 64 * df.count())
+def running(df: DataFrame, order: list[str], amount: str, out: str, name: str, rows: int) -> DataFrame:
+    """``df`` (about ``rows`` rows, which differ in ``order``) with the sum of ``amount`` over all rows before in that order."""
+    parts = fan_out(df.sparkSession, 64 * rows)
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_in", T.LongType())])
     at = df.columns.index(amount)
 
@@ -80,10 +79,10 @@ def running(df: DataFrame, order: list[str], amount: str, out: str, name: str) -
                 total = int(ends[-1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ends), part, np.int32)), pa.array(before, pa.int64())], names=schema.names)
 
-    rows = materialise(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add_up, schema), name)
+    table = materialise(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(add_up, schema), name)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task: MOST_PARTS at most
-    sums = rows.groupBy("_part").agg(F.sum(amount).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(sums), "_part").withColumn(out, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    sums = table.groupBy("_part").agg(F.sum(amount).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return table.join(F.broadcast(sums), "_part").withColumn(out, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def credits(queue: DataFrame, span: int, targets: dict[str, float] | None, temper: float) -> DataFrame:
@@ -107,7 +106,8 @@ def credits(queue: DataFrame, span: int, targets: dict[str, float] | None, tempe
 def schedule(rows: DataFrame, length: int, window_sequences: int = 32, targets: dict[str, float] | None = None, temper: float = 1.0, grain: int = GRAIN) -> DataFrame:
     """(row, start, len, at): stretches of documents and their place in the output; ``rows`` has row, source and n."""
     queue = rows.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source"), "row", "n")
-    queue = running(queue, ["source", "row"], "n", "at", "queues")
+    count = rows.count()
+    queue = running(queue, ["source", "row"], "n", "at", "queues", count)
     sources = materialise(credits(queue, length * window_sequences, targets, temper), "credits")
     if sources.count() <= BROADCAST_ROWS:
         sources = F.broadcast(sources)
@@ -121,7 +121,7 @@ def schedule(rows: DataFrame, length: int, window_sequences: int = 32, targets:
     cuts = queue.join(sources, "source").select("row", "source", "late", a.alias("a"), F.explode(F.when(q >= g, windows).otherwise(grains)).alias("c"), b.alias("b"))
     start, end = F.greatest("a", F.col("c.x")), F.least("b", F.col("c.y"))
     cuts = cuts.select((F.col("late") + F.col("c.k")).alias("window"), "source", start.alias("place"), "row", (start - F.col("a")).alias("start"), (end - start).alias("len")).where("len > 0")
-    return running(cuts, ["window", "source", "place"], "len", "at", "chunks").select("row", "start", "len", "at")
+    return running(cuts, ["window", "source", "place"], "len", "at", "chunks", 2 * count).select("row", "start", "len", "at")
 
 
 def pack(
