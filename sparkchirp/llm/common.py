@@ -141,7 +141,7 @@ class Words:
             table[65:91] = _BYTE[97:123]
         out = np.empty(len(self.start), U64)
         # blocks of documents keep the 64-bit temporaries small
-        step = 1 << 22
+        step = 1 << 18
         doc, last = 0, len(self.offset) - 1
         while doc < last:
             to = int(np.searchsorted(self.offset, self.offset[doc] + step, "right")) - 1

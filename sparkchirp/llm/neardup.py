@@ -200,8 +200,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
 
 def _links(rows: DataFrame, parts: int, width: int, least: float) -> DataFrame:
-    """(a, b, cluster): a spanning forest of the verified links inside every (cluster, part); ``rows`` has cluster, part, node, text."""
-    bins = rows.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(parts)).cast("int"))
+    """(a, b, cluster): a spanning forest of the verified links inside every (cluster, part); ``rows`` has cluster, part, node, text.
+
+    Clusters are dealt to ``parts`` bins by a hash, the parts of one cluster to bins one after the other.
+    """
+    part = F.col("part").cast("long")
+    turn = F.shiftright(part, 31) + F.pmod(part, F.lit(1 << 31)) * 7919
+    bins = rows.withColumn("bin", F.pmod(F.pmod(F.xxhash64("cluster"), F.lit(parts)) + F.pmod(turn, F.lit(parts)), F.lit(parts)).cast("int"))
 
     def work(table: pa.Table) -> pa.Table:
         cluster, part, node = (np.asarray(table.column(c)) for c in ("cluster", "part", "node"))
@@ -224,7 +229,8 @@ def _links(rows: DataFrame, parts: int, width: int, least: float) -> DataFrame:
             c += [int(cluster[i])] * int(far.sum())
         return pa.table([pa.array(x, pa.int64()) for x in (a, b, c)], names=["a", "b", "cluster"])
 
-    return bins.repartition(parts, "bin").groupBy("bin").applyInArrow(tidied_group(work), "a long, b long, cluster long")
+    found = bins.repartitionById(parts, "bin").groupBy("bin").applyInArrow(tidied_group(work), "a long, b long, cluster long")
+    return found.hint("rebalance")  # a few numbers from each task: as many files as their size needs
 
 
 def near_duplicates(
