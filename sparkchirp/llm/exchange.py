@@ -5,7 +5,9 @@ sorted array of its distinct keys with their counts (so a key that a third of al
 group), the bucket adds up what the groups sent and answers each of them in the order of its keys.
 
 Inside a bucket a key is known by its whole 64 bits or by its lowest 40.  A bucket stands for a fixed amount of text,
-so that two of its keys share 40 bits at the same rate (about 2 in a million) whatever the size of the input.
+so that two of its keys share 40 bits at the same rate (about 2 in a million) whatever the size of the input: enough
+where a count only says what to look at again.  Whole keys are dealt to buckets by range, so that those of a message
+lie close together and take few bits.
 Groups and buckets are dealt to tasks by number, so that no task gets many of them by chance; a task goes through
 its groups or buckets one after the other.  A message holds at least one key, so there are never more of them than
 distinct keys in groups.
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import MOST_PARTS, U64, pieces
+from .common import MOST_PARTS, U64, pieces, small_batches, tidied
 
 LOW = 40
 _MASK = U64((1 << LOW) - 1)
@@ -50,9 +53,25 @@ class Dealt:
         return self.rows.groupBy("g").cogroup(self.to_groups(answers).groupBy("g"))
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, row: Column, group_bytes: int, bucket_bytes: int, apart: Column | None = None, **more: Column) -> Dealt:
+def zipped(batches):
+    """The batches with their texts compressed one by one, each behind its size."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        data = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", data)
+
+
+def unzipped(table: pa.Table) -> pa.Table:
+    """The table with its texts as they were before ``zipped``."""
+    codec = pa.Codec("zstd")
+    texts = [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in table.column("text").to_pylist()]
+    return table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.large_binary()).view(pa.large_string()))
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str, row: Column, group_bytes: int, bucket_bytes: int, apart: Column | None = None, zip_texts: bool = False, **more: Column) -> Dealt:
     """Deal documents into groups by a hash of id and text; ``h`` orders the rows of a group the same way each time.
-    Rows that ``apart`` holds for lie in groups of their own."""
+    Rows that ``apart`` holds for lie in groups of their own.  With ``zip_texts`` the texts are ``zipped``."""
     rows = docs.select(
         F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("h"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
@@ -65,7 +84,11 @@ def deal(docs: DataFrame, id_col: str, text_col: str, row: Column, group_bytes:
     first, second = pieces(size - other, group_bytes), pieces(other, group_bytes)
     group = F.when(F.col("apart"), first + F.pmod("h", F.lit(second))).otherwise(F.pmod("h", F.lit(first))).cast("int")
     groups = first + (second if other else 0)
-    rows = rows.select(group.alias("g"), *[c for c in rows.columns if c != "apart"]).repartitionById(min(groups, MOST_PARTS), "g")
+    rows = rows.select(group.alias("g"), *[c for c in rows.columns if c != "apart"])
+    if zip_texts:
+        kinds = [T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in rows.schema]
+        rows = small_batches(rows).mapInArrow(tidied(zipped), T.StructType(kinds))
+    rows = rows.repartitionById(min(groups, MOST_PARTS), "g")
     return Dealt(rows, groups, pieces(size, bucket_bytes), size)
 
 
@@ -83,10 +106,28 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 # --------------------------------------------------------------------------- packing
 def pack_keys(keys: np.ndarray, whole: bool) -> bytes:
-    """Sorted keys: eight bytes each, or the lowest 40 bits as 32 bits and, for the 8 above, a bitmap with a one for each
-    key after as many zeros as these 8 bits say."""
+    """Sorted keys: whole, or the lowest 40 bits as 32 bits and, for the 8 above, a bitmap with a one for each key after
+    as many zeros as these 8 bits say.
+
+    Whole keys are taken from the first one on and cut where the parts above have about as many values as there are keys:
+    their number, the first key, the bits of the lower parts, these parts in whole bytes and then single bits, and a
+    bitmap as above for the parts above.
+    """
     if whole:
-        return keys.astype("<u8").tobytes()
+        n = len(keys)
+        if n < 2:
+            return keys.astype("<u8").tobytes()
+        off = keys - keys[0]
+        low = max(0, (int(off[-1]) // n).bit_length() - 1)
+        high = (off >> U64(low)).astype(np.int64)
+        bits = np.zeros(n + int(high[-1]), np.uint8)
+        bits[high + np.arange(n)] = 1
+        parts = off.astype("<u8").view(np.uint8).reshape(n, 8)
+        data = [np.array([n], "<u4").tobytes(), keys[:1].astype("<u8").tobytes(), bytes([low])]
+        data += [parts[:, i].tobytes() for i in range(low // 8)]
+        if low % 8:
+            data.append(np.packbits(np.unpackbits(parts[:, low // 8, None], axis=1)[:, 8 - low % 8 :]).tobytes())
+        return b"".join(data) + np.packbits(bits).tobytes()
     bits = np.zeros(len(keys) + _HIGH, np.uint8)
     bits[(keys >> U64(32)).astype(np.int64) + np.arange(len(keys))] = 1
     return (keys & U64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(bits).tobytes()
@@ -94,7 +135,21 @@ def pack_keys(keys: np.ndarray, whole: bool) -> bytes:
 
 def unpack_keys(data: bytes, whole: bool) -> np.ndarray:
     if whole:
-        return np.frombuffer(data, "<u8")
+        if len(data) <= 8:
+            return np.frombuffer(data, "<u8")
+        n, first, low, at = int.from_bytes(data[:4], "little"), np.frombuffer(data, "<u8", 1, 4)[0], data[12], 13
+        parts = np.zeros((n, 8), np.uint8)
+        for i in range(low // 8):
+            parts[:, i] = np.frombuffer(data, np.uint8, n, at)
+            at += n
+        if rest := low % 8:
+            size = (n * rest + 7) // 8
+            some = np.zeros((n, 8), np.uint8)
+            some[:, 8 - rest :] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * rest).reshape(n, rest)
+            parts[:, low // 8] = np.packbits(some, axis=1)[:, 0]
+            at += size
+        high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=at))) - np.arange(n)
+        return (parts.view("<u8")[:, 0] | high.astype(U64) << U64(low)) + first
     n = (8 * len(data) - _HIGH) // 33  # 32 bits and one bit a key, whole bytes
     bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=4 * n), count=n + _HIGH)
     high = np.flatnonzero(bits)
@@ -127,16 +182,17 @@ class Counted:
     """Distinct keys of a group and their counts there, by bucket and then key."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, buckets: int, whole: bool = False):
-        bucket = (keys >> U64(LOW)) % U64(buckets)
         if whole:
-            self.order = np.lexsort((keys, bucket))
+            self.order = np.argsort(keys)
             self.keys = keys[self.order]
+            bucket = (self.keys >> U64(32)) * U64(buckets) >> U64(32)
         else:
+            bucket = (keys >> U64(LOW)) % U64(buckets)
             code = bucket << U64(LOW) | keys & _MASK
             self.order = np.argsort(code)
             self.keys = code[self.order] & _MASK
+            bucket = bucket[self.order]
         self.whole, self.counts = whole, counts[self.order]
-        bucket = bucket[self.order]
         first = runs(bucket)
         ends = np.append(first[1:], len(bucket))[: len(first)]
         self.bounds = dict(zip(bucket[first].tolist(), zip(first.tolist(), ends.tolist(), strict=True), strict=True))

@@ -15,9 +15,8 @@ the state is carried from token to token, and the weights passed are its score.
 
 The automaton grows with the corpus, so no process holds all of it: documents are dealt into groups, each group
 asks the buckets of the key space for the counts of its own n-grams over all training text, builds the states and
-arcs that its documents can reach and runs them through.  Words are counted by 64-bit keys (N, V, n_known and the
-base score are exact while no two words share one), longer n-grams by 40 bits and their bucket: about 2 in a
-million share a count with another, at any size of the input.
+arcs that its documents can reach and runs them through.  N-grams of every order are counted by 64-bit keys: all
+figures are exact while no two n-grams of an order share one (of a billion n-grams, one pair with a chance of 1 in 37).
 
 Defined cases: null or empty text is the end token alone; a null ``train`` counts as false; rows that repeat are
 learned and scored each; texts of any length are read whole; an empty table gives an empty result; with no training
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, Words, mix, tidied_group
-from .exchange import ANSWER, MESSAGE, Counted, Summed, deal, messages, ordered, totals
+from .exchange import ANSWER, MESSAGE, Counted, Summed, deal, messages, ordered, totals, unzipped
 
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -218,9 +217,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         raise ValueError("order: 1 to 3")
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     train = F.coalesce(train, F.lit(False))
-    dealt = deal(docs, id_col, text_col, row, GROUP_BYTES, BUCKET_BYTES, apart=~train, train=train)
+    dealt = deal(docs, id_col, text_col, row, GROUP_BYTES, BUCKET_BYTES, apart=~train, zip_texts=True, train=train)
     rows, buckets = dealt.rows, dealt.buckets
-    whole = [m == 0 for m in range(order)]
+    whole = [True] * order
 
     def asked(table: pa.Table) -> tuple[Grams, list[Counted], int]:
         """The n-grams of a group, what it sends of them, and 1 where the model learns from it, else 0."""
@@ -228,7 +227,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return grams, [Counted(k, c * learn, buckets, w) for k, c, w in zip(grams.keys, grams.counts(), whole, strict=True)], learn
 
     def send(table: pa.Table) -> pa.Table:
-        _, sets, learn = asked(ordered(table))
+        _, sets, learn = asked(unzipped(ordered(table)))
         return messages(sets, table.column("g")[0].as_py(), learn)
 
     sent = dealt.by_bucket(rows.groupBy("g").applyInArrow(tidied_group(send), MESSAGE))
@@ -266,7 +265,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         if not table.num_rows:
             kinds = [table.schema.field("row").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 4]
             return pa.table([pa.array([], k) for k in kinds], names=schema.names)
-        table = ordered(table)
+        table = unzipped(ordered(table))
         grams, sets, learn = asked(table)
         grams.keys = [k[:0] if m else k for m, k in enumerate(grams.keys)]  # the sets hold the others
         tokens, types, *seen = table.column("corpus")[0].as_py()

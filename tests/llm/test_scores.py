@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkchirp.llm import lm, toxicity
-from sparkchirp.llm.exchange import pack_counts, pack_keys, unpack_counts, unpack_keys
+from sparkchirp.llm.common import Words, mix
+from sparkchirp.llm.exchange import Counted, pack_counts, pack_keys, unpack_counts, unpack_keys
 from sparkchirp.llm.threshold import Block, quantised, top_k
 
 
@@ -95,6 +96,37 @@ def test_counts_of_any_size_come_back():
         assert np.array_equal(unpack_keys(pack_keys(keys, False), False), keys) and np.array_equal(unpack_keys(pack_keys(keys, True), True), keys)
 
 
+def test_whole_keys_come_back_by_bucket():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 9, 1000):
+        for top in (4 * n + 4, 1 << 40, (1 << 64) - 1):
+            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert np.array_equal(unpack_keys(pack_keys(keys, True), True), keys)
+    for edge in ([0, 2**64 - 1], [2**64 - 2, 2**64 - 1], [0, 1, 2**64 - 1]):
+        assert unpack_keys(pack_keys(np.array(edge, np.uint64), True), True).tolist() == edge
+    keys = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    for buckets in (1, 7, 60_000):
+        dealt = Counted(keys, np.ones(len(keys), np.int64), buckets, True)
+        sent = [pack_keys(dealt.keys[dealt.part(b)], True) for b in dealt.bounds]
+        assert np.array_equal(np.concatenate([unpack_keys(x, True) for x in sent]), np.sort(keys)) and max(dealt.bounds) < buckets
+        assert buckets > 7 or sum(map(len, sent)) < 7 * len(keys)
+
+
+def test_bigrams_that_share_40_bits_are_counted_apart(spark):
+    words = [f"w{i}" for i in range(2500)]
+    h = Words(pa.array(words)).hashes(lower=True)
+    keys = mix(h[None, :] + lm._ROUND * h[:, None]).ravel()
+    low = keys & np.uint64((1 << 40) - 1)
+    at = np.argsort(low)
+    twin = int(np.flatnonzero(low[at][1:] == low[at][:-1])[0])
+    one, other = at[twin : twin + 2].tolist()
+    assert keys[one] != keys[other]
+    rows = [" ".join([words[k // len(words)], words[k % len(words)]]) for k in (one, other)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.row.doc_id: r.score for r in lm.score_texts(docs, F.lit(True), order=2).collect()}
+    assert [got[0], got[1]] == pytest.approx([x[4] for x in brute([(t, True) for t in rows], 2)])
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_every_state_is_a_distribution(order):
     """From each numbered state, arcs and failure arcs give all words and one unseen word probabilities that add up to 1."""
