@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .common import U64, Words, mix, tidied_group
 from .exchange import ANSWER, MESSAGE, Counted, Summed, deal, messages, ordered, totals, unzipped
 
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+GROUP_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _ROUND = U64(0x9E3779B97F4A7C15)
 
